@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.operators import grid, rolling, validity
+from tidegauge.operators import grid, rolling, spikes, validity
 from tidegauge.tables import day, period_letter, table, with_known_day
 
 OBSERVATION = ["indicator_id", "area_code", "obs_day"]
@@ -57,6 +57,17 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p3_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return spikes.flag_readings(
+        table(spark, d, "series_readings"), table(spark, d, "indicator_meta"), ["indicator_id", "area_code"],
+        "row_id", "obs_ts", "value", ["indicator_id"], "expected_min", "expected_max",
+    )
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_reasons(spark, d).select("row_id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     text = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
     usable = _panel(spark, d).where(F.col("obs_day").isNotNull())
@@ -98,7 +109,7 @@ def queries() -> dict:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_values, p2_found, p2_grid, p5_found, p5_history, p6_found, p6_rolling, p6_panel_rolling,
+            p1_found, p1_values, p2_found, p2_grid, p3_found, p3_reasons, p5_found, p5_history, p6_found, p6_rolling, p6_panel_rolling,
         )
     }
 
