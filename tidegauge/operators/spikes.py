@@ -84,27 +84,28 @@ def chart(x: np.ndarray, rules: ChartRules, floor: float) -> tuple[np.ndarray, n
     return means, scales
 
 
-def recurring(at: np.ndarray, move: np.ndarray, n: int, rules: ChartRules) -> np.ndarray:
-    """Which suspects recur with a season: about the same move, one cycle apart, in most cycles."""
-    out = np.zeros(len(at), bool)
-    if len(at) < 3:
-        return out
-    for sign in (1, -1):
-        own = np.flatnonzero(np.sign(move) == sign)
-        if len(own) < 3:
-            continue
-        best = np.zeros(0, int)
-        p, size = at[own], np.abs(move[own])
-        gaps = np.subtract.outer(p, p)
-        for period in np.unique(gaps[(gaps >= 4) & (gaps <= n // 2)]):
-            for start in range(len(p)):
-                phase = (p - p[start]) % period
-                near = np.minimum(phase, period - phase) <= max(1, period // 24)
-                alike = near & (size > 0.4 * size[start]) & (size < 2.5 * size[start])
-                cycles = len(np.unique(np.round((p[alike] - p[start]) / period)))
-                if cycles >= 4 and cycles >= rules.cycle_share * (n / period) and alike.sum() > len(best):
-                    best = np.flatnonzero(alike)
-        out[own[best]] = True
+def recurring(q: np.ndarray, rules: ChartRules) -> np.ndarray:
+    """Which suspects recur with a season: about the same move, whole cycles apart, in most cycles.
+
+    q is each reading's deviation as a share of the limit; beyond 1 it is suspect.
+    Moves of half the limit and more bear witness to a cycle. A move of over
+    twice the limit is no seasonal one.
+    """
+    n = len(q)
+    out = np.zeros(n, bool)
+    moved = np.flatnonzero(np.abs(q) > 0.5)
+    for start in np.flatnonzero((np.abs(q) > 1.0) & (np.abs(q) < 2.0)):
+        share = q[moved] / q[start]
+        alike = moved[(share > 0.5) & (share < 2.0)]
+        for period in np.unique(np.abs(alike - start)):
+            if period < 4 or n < 4 * period:
+                continue
+            phase = (alike - start) % period
+            near = alike[np.minimum(phase, period - phase) <= max(1, period // 24)]
+            cycles = len(np.unique(np.round((near - start) / period)))
+            if cycles >= max(4.0, rules.cycle_share * n / period):
+                out[start] = True
+                break
     return out
 
 
@@ -147,9 +148,7 @@ def judge(x: np.ndarray, rules: ChartRules = ChartRules()) -> pd.DataFrame:
     m2, s2 = (side[::-1] for side in chart(y[::-1], rules, floor))
     low = np.minimum(m1 - rules.limit * s1, m2 - rules.limit * s2)
     high = np.maximum(m1 + rules.limit * s1, m2 + rules.limit * s2)
-    at = np.flatnonzero((y < low) | (y > high))
-    seasonal = np.zeros(len(y), bool)
-    seasonal[at] = recurring(at, y[at] - np.where(y[at] > high[at], high[at], low[at]), len(y), rules)
+    seasonal = recurring((y - (low + high) / 2) / np.maximum((high - low) / 2, 1e-12), rules)
     out.loc[fresh, "low"], out.loc[fresh, "high"], out.loc[fresh, "seasonal"] = low, high, seasonal
     out["held"] = held
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidegauge.operators import grid, rolling, spikes, validity
+from tidegauge.operators import grid, rolling, spikes, units, validity
 from tidegauge.tables import day, period_letter, table, with_known_day
 
 OBSERVATION = ["indicator_id", "area_code", "obs_day"]
@@ -68,6 +68,32 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return p3_reasons(spark, d).select("row_id")
 
 
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    meta = table(spark, d, "indicator_meta").select(
+        F.col("indicator_id").alias("m_id"), F.col("unit").alias("home"), "data_quality_suspect_periods"
+    )
+    within = F.filter(
+        "data_quality_suspect_periods",
+        lambda p: day("obs_date").between(F.to_date(p["start_date"]), F.to_date(p["end_date"])),
+    )
+    rows = table(spark, d, "source_records")
+    return rows.join(meta, rows.indicator_id == meta.m_id, "left").select(
+        F.col("rec_id").alias("id"), F.concat_ws("|", "indicator_id", "area_code").alias("series"), "home",
+        F.col("value_text").alias("text"), F.col("unit_text").alias("field"), "note",
+        F.array_join(F.transform(within, lambda p: p["reason"]), "; ").alias("span"),
+    )
+
+
+def p4_values(spark: SparkSession, d: str) -> DataFrame:
+    return units.common_units(_records(spark, d)).withColumnRenamed("id", "rec_id")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return units.common_units(_records(spark, d)).where("unit <> home").select(
+        F.col("id").alias("rec_id"), F.col("unit").alias("unit_code")
+    )
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     text = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
     usable = _panel(spark, d).where(F.col("obs_day").isNotNull())
@@ -109,7 +135,7 @@ def queries() -> dict:
     return {
         f.__name__: f
         for f in (
-            p1_found, p1_values, p2_found, p2_grid, p3_found, p3_reasons, p5_found, p5_history, p6_found, p6_rolling, p6_panel_rolling,
+            p1_found, p1_values, p2_found, p2_grid, p3_found, p3_reasons, p4_found, p4_values, p5_found, p5_history, p6_found, p6_rolling, p6_panel_rolling,
         )
     }
 
