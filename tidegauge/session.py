@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +50,20 @@ def durable(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and return it with its lineage cut."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, wherever they run; once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="tidegauge-package-")) / "tidegauge.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(here.rglob("*.py")):
+            archive.write(source, str(source.relative_to(here.parent)))
+    sc.addPyFile(str(target))
+    _shipped.add(sc.applicationId)
