@@ -35,8 +35,8 @@ class Training:
 
     max_labelled: int = 20_000
     partitions: int = 12
-    buckets: int = 1 << 15
-    dim: int = 16
+    buckets: int = 1 << 14
+    dim: int = 12
     rounds: int = 16
     step: float = 0.1
     level: float = 0.5
