@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.session import spread
+
 # Unit codes by family, with the power of ten that leads to the family's base unit.
 FAMILIES = {
     "money": {"USD": 0, "K_USD": 3, "M_USD": 6, "B_USD": 9, "T_USD": 12},
@@ -227,7 +229,7 @@ def common_units(records: DataFrame) -> DataFrame:
     """
     spark = records.sparkSession
     kinds = dict(records.dtypes)
-    read = records.select("id", "series", "home", "text", "field", "note", "span").mapInPandas(
+    read = spread(records.select("id", "series", "home", "text", "field", "note", "span")).mapInPandas(
         _read, f"id {kinds['id']}, series string, home string, figure double, label string"
     )
     factors = _factors(spark)
