@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.session import spread
+
 #: Words of a window: about a dozen in a row make a leak.
 WINDOW = 12
 #: Words of a window that may be changed, added or left out.
@@ -27,6 +29,9 @@ BLOCK_ITEMS = 20_000
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans("аеорсухіјѕһԁԛԝвкмнтгαεορυικντ", "aeopcyxijshdqwbkmhtraeopuiknt")
 
+_LOOKS = regex.compile(r"[\u0370-\u052f]")
+_MIXED = regex.compile(r"\w*(?:[a-z]\w*[\u0370-\u052f]|[\u0370-\u052f]\w*[a-z])\w*")
+_MARKS = regex.compile(r"\p{Mn}+")
 _INVISIBLE = regex.compile(r"\p{Cf}+")
 _BROKEN = regex.compile(r"(?<=\p{L})[-‐]\r?\n(?=\p{Ll})")
 _LINK = regex.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]")
@@ -55,10 +60,10 @@ def words(text: str, strip: bool = False) -> list[str]:
         text = _LINK.sub(r"\1", text)
     text = _BROKEN.sub("", text)
     if not text.isascii():
-        text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
     text = text.casefold()
-    if not text.isascii():
-        text = regex.sub(r"\w*[a-z]\w*", lambda m: m.group() if m.group().isascii() else m.group().translate(LOOKALIKES), text)
+    if _LOOKS.search(text):
+        text = _MIXED.sub(lambda m: m.group().translate(LOOKALIKES), text)
     return _WORD.findall(text)
 
 
@@ -217,7 +222,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     rows. Texts are searched whole, whatever their length.
     """
     spark = documents.sparkSession
-    slim = documents.select(documents[doc_id].alias("doc_id"), documents[text].alias("text")).where("text is not null")
+    slim = spread(documents.select(documents[doc_id].alias("doc_id"), documents[text].alias("text")).where("text is not null"))
     kind = dict(slim.dtypes)["doc_id"]
     result = None
     block: list[tuple[int, list[str]]] = []

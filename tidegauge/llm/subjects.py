@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.session import durable
+from tidegauge.session import durable, spread
 
 
 @dataclass(frozen=True)
@@ -46,6 +46,8 @@ class Training:
     unknown: float = 0.03
 
 
+_EMPHASIS = regex.compile(r"'{2,}")
+_MARKS = regex.compile(r"\p{Mn}+")
 _COMMENT = regex.compile(r"<!--.*?-->|<ref[^>/]*/>|<ref[^>]*>.*?</ref>", regex.S | regex.I)
 _TABLE = regex.compile(r"\{\|.*?(?:\|\}|\z)", regex.S)
 _TEMPLATE = regex.compile(r"\{\{[^{}]*\}\}|\{\{\{[^{}]*\}\}\}")
@@ -71,8 +73,8 @@ def sections(text: str | None) -> list[list[list[str]]]:
         text, n = _TEMPLATE.subn(" ", text)
         if not n:
             break
-    text = _LINK.sub(r"\1", _META_LINK.sub(" ", _TAG.sub(" ", text)))
-    text = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).casefold()
+    text = _EMPHASIS.sub("", _LINK.sub(r"\1", _META_LINK.sub(" ", _TAG.sub(" ", text))))
+    text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).casefold()
     out = []
     for part in _HEADING.split(text):
         found = [w for s in _SENTENCE.split(part) if (w := _WORD.findall(s))]
@@ -363,7 +365,7 @@ def assign(documents: DataFrame, model: Model, chunk_chars: int = 500_000) -> Da
     shared = documents.sparkSession.sparkContext.broadcast(
         (model.subjects, model.embedding, model.output, model.weight, model.training)
     )
-    slim = documents.select("doc_id", documents["text"].cast("string").alias("text")).where("text is not null")
+    slim = spread(documents.select("doc_id", documents["text"].cast("string").alias("text")).where("text is not null"))
     kind = dict(slim.dtypes)["doc_id"]
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -14,6 +14,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tidegauge.session import spread
+
 #: Folder of the public vocabularies; a parameter of every caller.
 TOKENIZERS = os.environ.get("TIDEGAUGE_TOKENIZERS", "/opt/tokenizers")
 # Fixed value: how the vocabulary's public description splits text before merging.
@@ -225,7 +227,8 @@ def encode_texts(documents: DataFrame, key: str, text: str, vocabulary: Vocabula
 
     Whatever a text holds is ordinary text: strings of special tokens get no ids
     of their own. A null and an empty text give an empty list. Further columns
-    are ignored. Rows are encoded where they lie, without a shuffle; texts are
+    are ignored. Rows are encoded where they lie, unless they lie in fewer parts than there are
+    cores; texts are
     taken in lots of about batch_chars characters, a longer one alone.
     """
     shared = documents.sparkSession.sparkContext.broadcast(
@@ -250,6 +253,6 @@ def encode_texts(documents: DataFrame, key: str, text: str, vocabulary: Vocabula
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, i - start), lists], ["key", "ids"])
                     start, held = i, len(t) if t else 0
 
-    slim = documents.select(documents[key].alias("key"), documents[text].cast("string").alias("text"))
+    slim = spread(documents.select(documents[key].alias("key"), documents[text].cast("string").alias("text")))
     kind = dict(slim.dtypes)["key"]
     return slim.mapInArrow(encoded, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
