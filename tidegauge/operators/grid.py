@@ -46,48 +46,35 @@ def regular_grid(readings: DataFrame, max_gap_periods: int = MAX_GAP_PERIODS) ->
         .groupBy("series_key", "period", "period_start")
         .agg(F.min(first).alias("first"), F.max(last).alias("last"))
     )
-    bounds = seen.groupBy("series_key", "period").agg(
-        F.min("period_start").alias("lo"), F.max("period_start").alias("hi")
+    # Merged with the sorted grid, each hole has the readings on its two sides as neighbours.
+    following = F.lead(F.struct("period_start", "first")).over(
+        Window.partitionBy("series_key", "period").orderBy("period_start")
     )
-    steps = F.expr(
-        "case period when 'W' then sequence(lo, hi, interval 7 days)"
-        " when 'M' then sequence(lo, hi, interval 1 month)"
-        " when 'Q' then sequence(lo, hi, interval 3 months)"
-        " else sequence(lo, hi, interval 1 day) end"
+    near = seen.withColumn("after", following).selectExpr(
+        "series_key", "period", "period_start", "last", "after",
+        "case period when 'W' then date_add(period_start, 7) when 'M' then add_months(period_start, 1)"
+        " when 'Q' then add_months(period_start, 3) else date_add(period_start, 1) end as lo",
+        "case period when 'W' then date_sub(after.period_start, 7) when 'M' then add_months(after.period_start, -1)"
+        " when 'Q' then add_months(after.period_start, -3) else date_sub(after.period_start, 1) end as hi",
     )
-    empty = "struct<day:date,value:double>"
-    grid = (
-        bounds.withColumn("period_start", F.explode(steps))
-        .where((F.col("period") != "B") | (F.weekday("period_start") < 5))
-        .select("series_key", "period", "period_start", F.lit(None).cast(empty).alias("first"), F.lit(None).cast(empty).alias("last"))
+    absent = F.expr(
+        "case when hi is null or lo > hi then array() else case period when 'W' then sequence(lo, hi, interval 7 days)"
+        " when 'M' then sequence(lo, hi, interval 1 month) when 'Q' then sequence(lo, hi, interval 3 months)"
+        " when 'B' then filter(sequence(lo, hi, interval 1 day), d -> weekday(d) < 5)"
+        " else sequence(lo, hi, interval 1 day) end end"
     )
-    series = Window.partitionBy("series_key", "period")
-    merged = (
-        seen.unionByName(grid)
-        .groupBy("series_key", "period", "period_start")
-        .agg(F.max("first").alias("first"), F.max("last").alias("last"))
-        .withColumn("n", F.row_number().over(series.orderBy("period_start")))
-    )
-    ahead = series.orderBy("period_start").rowsBetween(Window.unboundedPreceding, -1)
-    behind = series.orderBy(F.desc("period_start")).rowsBetween(Window.unboundedPreceding, -1)
-    marked_last = F.when(F.col("last").isNotNull(), F.struct("n", "last.day", "last.value"))
-    marked_first = F.when(F.col("first").isNotNull(), F.struct("n", "first.day", "first.value"))
-    near = merged.withColumn("before", F.last(marked_last, ignorenulls=True).over(ahead)).withColumn(
-        "after", F.last(marked_first, ignorenulls=True).over(behind)
+    placed = near.withColumn("absent", absent).select(
+        "series_key", "period", "last", "after", F.size("absent").alias("hole"),
+        F.posexplode(F.concat(F.array("period_start"), "absent")).alias("n", "period_start"),
     )
-    share = F.datediff("period_start", F.col("before.day")) / F.datediff(F.col("after.day"), F.col("before.day"))
-    drawn = F.col("before.value") + (F.col("after.value") - F.col("before.value")) * share
-    hole = F.when(F.col("last").isNull(), F.col("after.n") - F.col("before.n") - 1).otherwise(0)
-    return near.withColumn("gap_periods", hole.cast("int")).select(
+    share = F.datediff("period_start", F.col("last.day")) / F.datediff(F.col("after.first.day"), F.col("last.day"))
+    drawn = F.col("last.value") + (F.col("after.first.value") - F.col("last.value")) * share
+    seen_here, short = F.col("n") == 0, F.col("hole") <= max_gap_periods
+    return placed.select(
         "series_key",
         "period",
         "period_start",
-        F.when(F.col("last").isNotNull(), F.col("last.value"))
-        .when(F.col("gap_periods") <= max_gap_periods, drawn)
-        .alias("value"),
-        F.when(F.col("last").isNotNull(), "observed")
-        .when(F.col("gap_periods") <= max_gap_periods, "interpolated")
-        .otherwise("gap")
-        .alias("status"),
-        "gap_periods",
+        F.when(seen_here, F.col("last.value")).when(short, drawn).alias("value"),
+        F.when(seen_here, "observed").when(short, "interpolated").otherwise("gap").alias("status"),
+        F.when(seen_here, 0).otherwise(F.col("hole")).alias("gap_periods"),
     )
