@@ -12,28 +12,6 @@ from pyspark.sql import functions as F
 EXACT = "decimal(28,8)"
 
 
-def _moves(daily: DataFrame, windows: Sequence[int]) -> DataFrame:
-    """Arrivals on their day and the same amounts leaving each window when they expire."""
-    exact = F.expr(f"try_cast(amount as {EXACT})")
-    plain = daily.select(
-        "entity", "day", exact.alias("amount"),
-        F.lit(1).alias("n"), F.when(exact.isNull(), 1).otherwise(0).alias("odd"),
-    )
-    sides = []
-    for w in windows:
-        sides.append(plain.withColumn("window_days", F.lit(w)))
-        sides.append(
-            plain.select(
-                "entity", F.date_add("day", w).alias("day"), (-F.col("amount")).cast(EXACT).alias("amount"),
-                (-F.col("n")).alias("n"), (-F.col("odd")).alias("odd"), F.lit(w).alias("window_days"),
-            )
-        )
-    out = sides[0]
-    for side in sides[1:]:
-        out = out.unionByName(side)
-    return out
-
-
 def daily_amounts(rows: DataFrame, entity: str, day_column: str, value: str, order_by: str) -> DataFrame:
     """entity, day, amount: per entity and day the row with the highest order_by, if it isn't null."""
     return (
@@ -59,27 +37,33 @@ def rolling_state(daily: DataFrame, windows: Sequence[int] = (7, 30), version: i
     infinity, 1e20 and above) is in a window its total and average are NaN.
     The sort per entity is bounded by the calendar, as there is one row per day.
     """
-    bounds = daily.groupBy("entity").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    days = bounds.select(
-        "entity", F.explode(F.expr("sequence(lo, hi, interval 1 day)")).alias("day")
-    ).select("entity", "day", F.explode(F.array(*[F.lit(w) for w in windows])).alias("window_days"))
-    moves = _moves(daily, windows).withColumn("on_grid", F.lit(False)).unionByName(
-        days.select(
-            "entity", "day", F.lit(0).cast(EXACT).alias("amount"), F.lit(0).alias("n"),
-            F.lit(0).alias("odd"), "window_days", F.lit(True).alias("on_grid"),
-        )
+    exact = F.expr(f"try_cast(amount as {EXACT})")
+    by_day = Window.partitionBy("entity").orderBy("day")
+    plain = daily.select("entity", "day", exact.alias("x"), F.lit(1).alias("n"), exact.isNull().cast("int").alias("odd"))
+    following = F.coalesce(F.date_sub(F.lead("day").over(by_day), 1), F.col("day"))
+    dense = plain.withColumn("upto", following).select(
+        "entity", "x", "n", "odd", F.posexplode(F.expr("sequence(day, upto, interval 1 day)")).alias("k", "day")
     )
-    net = moves.groupBy("entity", "window_days", "day").agg(
-        F.sum("amount").alias("amount"), F.sum("n").alias("n"), F.sum("odd").alias("odd"),
-        F.max("on_grid").alias("on_grid"),
+    own = [F.when(F.col("k") == 0, F.col(c)).alias(c) for c in ("x", "n", "odd")]
+    kinds = {"x": EXACT, "n": "int", "odd": "int"}
+    arrivals = dense.select("entity", "day", *own)
+    # On the dense grid the day that leaves a window of w days is w rows back.
+    net = arrivals.select(
+        "entity", "day",
+        *[
+            (F.coalesce(c, F.lit(0)) - F.coalesce(F.lag(c, w).over(by_day), F.lit(0))).cast(kinds[c]).alias(f"{c}{w}")
+            for w in windows for c in kinds
+        ],
     )
-    so_far = Window.partitionBy("entity", "window_days").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    run = net.select(
-        "entity", "window_days", "day", "on_grid",
-        F.sum("n").over(so_far).cast("int").alias("n"),
-        F.sum("odd").over(so_far).alias("odd"),
-        F.coalesce(F.sum("amount").over(so_far), F.lit(0)).cast("double").alias("total"),
-    ).where("on_grid")
+    so_far = by_day.rowsBetween(Window.unboundedPreceding, 0)
+    state = net.select("entity", "day", *[
+        F.struct(
+            F.lit(w).alias("window_days"), F.sum(f"n{w}").over(so_far).cast("int").alias("n"),
+            F.sum(f"odd{w}").over(so_far).alias("odd"), F.coalesce(F.sum(f"x{w}").over(so_far), F.lit(0)).cast("double").alias("total"),
+        ).alias(f"s{w}")
+        for w in windows
+    ])
+    run = state.select("entity", "day", F.explode(F.array(*[f"s{w}" for w in windows])).alias("s")).select("entity", "day", "s.*")
     return _finish(run).withColumn("version", F.lit(version))
 
 
