@@ -71,3 +71,12 @@ def test_no_labels_no_subjects(spark):
     empty = spark.createDataFrame([], "doc_id long, subject string")
     assert subjects.subject_areas(d, empty, areas).count() == 0
     assert subjects.subject_areas(d, empty, areas.limit(0)).count() == 0
+
+
+def test_fewer_labelled_pages_than_parts(spark):
+    d = spark.createDataFrame([(1, "The goal of the match."), (2, "#REDIRECT [[x]]"), (3, None), (4, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, "sport") for n in (1, 2, 3, 4)], "doc_id long, subject string")
+    areas = spark.createDataFrame([("sport",), ("food",)], "subject string")
+    found = subjects.subject_areas(d, labels, areas, subjects.Training(buckets=256, dim=4, partitions=7))
+    assert {r.doc_id for r in found.collect()} <= {1}
+    assert subjects.subject_areas(d.where("doc_id > 1"), labels, areas).count() == 0

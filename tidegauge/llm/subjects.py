@@ -241,7 +241,8 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], t: Train
     def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [(pickle.dumps(s), list(y)) for x, y in zip(pdf["text"], pdf["targets"]) if (s := sections(x))]
-            yield pd.DataFrame({"page": [f[0] for f in found], "targets": [f[1] for f in found]})
+            if found:
+                yield pd.DataFrame({"page": [f[0] for f in found], "targets": [f[1] for f in found]})
 
     data = durable(
         _labelled(documents, labels, subjects, t).repartition(t.partitions, "doc_id").mapInPandas(pages, "page binary, targets array<int>")
@@ -265,6 +266,8 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], t: Train
                         own[word] += y
                     else:
                         own[word] = y.copy()
+        if not own:
+            return
         table = np.array(list(own.values())).reshape(-1, n)
         yield pd.DataFrame({"word": list(own), **{f"n{i}": table[:, i] for i in range(n)}})
 
@@ -295,7 +298,6 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], t: Train
                 pages += [pickle.loads(p) for p in pdf["page"]]
                 targets += [list(y) for y in pdf["targets"]]
             if not pages:
-                yield pd.DataFrame({"part": [], "texts": pd.Series(dtype="float64")})
                 return
             if whole:
                 texts = [[w for section in page for s in section for w in s] for page in pages]
