@@ -89,21 +89,25 @@ def recurring(q: np.ndarray, rules: ChartRules) -> np.ndarray:
 
     q is each reading's deviation as a share of the limit; beyond 1 it is suspect.
     Moves of half the limit and more bear witness to a cycle. A move of over
-    twice the limit is no seasonal one.
+    twice the limit must recur in more of the cycles, and more alike.
     """
     n = len(q)
     out = np.zeros(n, bool)
     moved = np.flatnonzero(np.abs(q) > 0.5)
-    for start in np.flatnonzero((np.abs(q) > 1.0) & (np.abs(q) < 2.0)):
+    for start in np.flatnonzero(np.abs(q) > 1.0):
+        large = abs(q[start]) > 2.0
+        spread, least, part = (1.5, 5.0, (1.0 + rules.cycle_share) / 2) if large else (2.0, 4.0, rules.cycle_share)
         share = q[moved] / q[start]
-        alike = moved[(share > 0.5) & (share < 2.0)]
+        alike = moved[(share > 1 / spread) & (share < spread)]
+        if len(alike) < least:
+            continue
         for period in np.unique(np.abs(alike - start)):
-            if period < 4 or n < 4 * period:
+            if period < 4 or n < least * period:
                 continue
             phase = (alike - start) % period
             near = alike[np.minimum(phase, period - phase) <= max(1, period // 24)]
             cycles = len(np.unique(np.round((near - start) / period)))
-            if cycles >= max(4.0, rules.cycle_share * n / period):
+            if cycles >= max(least, part * n / period):
                 out[start] = True
                 break
     return out
