@@ -648,6 +648,15 @@ def ratio_inner(spark, d):
     return pick(1, "a").join(pick(2, "b"), "month_end").select("month_end", F.round(F.col("a") / F.nullif("b", F.lit(0.0)), 8).alias("ratio"))
 
 
+@query(f"""{_M}, market as (select month_end, avg(value) as mean from m group by month_end)
+select id, month_end, round(value / nullif(mean, 0), 8) as ratio from m join market using (month_end)""")
+def ratio_market(spark, d):
+    """Ratio of every ticker's month ends to the mean month end of all tickers of that month."""
+    m = series.month_end_last(_series(spark, d))
+    market = m.groupBy("month_end").agg(F.avg("value").alias("mean"))
+    return m.join(market, "month_end").select("id", "month_end", F.round(F.col("value") / F.nullif("mean", F.lit(0.0)), 8).alias("ratio"))
+
+
 @query("""select indicator_id, case upper(frequency[1]) when 'B' then 'D' else upper(frequency[1]) end as period, unit, lower(source) as source from indicator_meta""")
 def normalised_metadata(spark, d):
     return table(spark, d, "indicator_meta").select("indicator_id", period_letter(F.col("frequency")).alias("period"), "unit", F.lower("source").alias("source"))
