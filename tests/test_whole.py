@@ -1,10 +1,9 @@
 """Queries that must take in every series of their tables, over small tables written here."""
 
 from datetime import date as D
-from datetime import datetime, timedelta
+from datetime import datetime
 
 import duckdb
-import pytest
 
 import __spark_entry__ as entry
 
@@ -18,7 +17,7 @@ def from_sql(folder, name, *tables):
     for t in tables:
         c.sql(f"create view {t} as select * from read_parquet('{folder}/{t}.parquet/*.parquet')")
     want = c.sql(entry.oracle_sql()[name])
-    return sorted(map(tuple, want.fetchall())), want.columns
+    return {tuple(r) for r in want.fetchall()}, want.columns
 
 
 CLOSE = "row_id long, ticker string, obs_date timestamp_ntz, close double"
@@ -34,4 +33,35 @@ def test_ratio_has_every_ticker(spark, tmp_path):
         ("A", D(2020, 1, 31), 0.5), ("B", D(2020, 2, 29), 0.5), ("B", D(2020, 3, 31), 1.0), ("C", D(2020, 1, 31), 1.5),
         ("C", D(2020, 2, 29), 1.0), ("D", D(2020, 2, 29), 1.5),
     ]
-    assert (sorted(map(tuple, got.collect())), got.columns) == from_sql(tmp_path, "ratio_market", "market_close")
+    assert ({tuple(r) for r in got.collect()}, got.columns) == from_sql(tmp_path, "ratio_market", "market_close")
+
+
+PANEL = "row_id long, indicator_id string, area_code string, obs_date timestamp_ntz, value double, realtime_start timestamp_ntz, realtime_end timestamp_ntz"
+META = "indicator_id string, release_lag_days int"
+
+
+def aligned(spark, folder, observed, closes):
+    panel = [(i, k, a, t, v, t, None) for i, (k, a, t, v) in enumerate(observed)]
+    write(spark, folder, "vintage_panel", panel, PANEL)
+    write(spark, folder, "indicator_meta", [("i", 1), ("j", 1)], META)
+    write(spark, folder, "market_close", [(i, t, at, v) for i, (t, at, v) in enumerate(closes)], CLOSE)
+
+
+def test_every_indicator_is_aligned(spark, tmp_path):
+    observed = [("i", "x", datetime(2020, 1, 10), 1.0), ("i", "x", datetime(2020, 2, 29), 2.0), ("i", "x", datetime(2020, 3, 3), 5.0),
+                ("i", "x", datetime(2020, 3, 3), None), ("i", "y", datetime(2020, 2, 1), 3.0), ("j", "x", datetime(2020, 9, 1), 4.0)]
+    aligned(spark, tmp_path, observed, [("A", datetime(2020, 1, 2), 1.0), ("B", datetime(2020, 2, 3), 1.0), ("B", datetime(2020, 3, 3), 1.0)])
+    got = entry.queries()["align_indicators"](spark, str(tmp_path))
+    ends = D(2020, 1, 31), D(2020, 2, 29), D(2020, 3, 31)
+    want = {("i", "x"): [(D(2020, 1, 10), 1.0), (D(2020, 2, 29), 2.0), (D(2020, 2, 29), 2.0)],
+            ("i", "y"): [(None, None), (D(2020, 2, 1), 3.0), (D(2020, 2, 1), 3.0)], ("j", "x"): [(None, None)] * 3}
+    rows = {tuple(r) for r in got.collect()}
+    assert rows == {(*k, e, *f) for k, held in want.items() for e, f in zip(ends, held)}
+    assert (rows, got.columns) == from_sql(tmp_path, "align_indicators", "market_close", "vintage_panel")
+
+
+def test_days_of_any_year_are_aligned(spark, tmp_path):
+    observed = [("i", "x", datetime(y, 6, 1), 1.0) for y in (1995, 1999, 2031, 2044)]
+    aligned(spark, tmp_path, observed, [("A", datetime(1998, 5, 4), 7.0), ("A", datetime(2030, 5, 6), 9.0)])
+    got = entry.queries()["align_asof"](spark, str(tmp_path)).collect()
+    assert {r.day.year: r.value for r in got} == {1995: None, 1999: 7.0, 2031: 9.0, 2044: 9.0}

@@ -188,12 +188,32 @@ def align_asof(spark, d):
     target = _series(spark, d).join(F.broadcast(busiest), "id").select("day", "value")
     days = table(spark, d, "vintage_panel").select("indicator_id", day("obs_date").alias("day")).where("day is not null").distinct()
     # One target for all: its years make the buckets, so that no single task holds every row.
-    span = target.select(F.explode(F.array(*[F.lit(y) for y in range(2000, 2031)])).alias("y"), F.col("day").alias("held"), "value")
+    years = days.select(F.year("day").alias("y")).distinct()
+    span = target.select(F.col("day").alias("held"), "value").crossJoin(F.broadcast(years))
     opening = span.where("year(held) < y").groupBy("y").agg(F.max(F.struct("held", "value")).alias("b")).select("y", "b.held", "b.value")
     held = span.where("year(held) = y").unionByName(opening)
     return series.asof_join(days.withColumn("y", F.year("day")), held, ["y"], "day", "held", ["value"]).select("indicator_id", "day", "value")
 
 
+@query(f"""{_S}, o as (select indicator_id, area_code, obs_date::date as obs_day, arg_max_null(value, row_id) as value
+  from vintage_panel where obs_date is not null group by all),
+asked as (select * from (select distinct indicator_id, area_code from o) cross join (select distinct last_day(day) as month_end from s)),
+f as (select * from o where value is not null)
+select a.indicator_id, a.area_code, a.month_end, f.obs_day, f.value from asked a
+asof left join f on a.indicator_id = f.indicator_id and a.area_code = f.area_code and a.month_end >= f.obs_day""")
+def align_indicators(spark, d):
+    """The figure in force of every indicator and area on each month end of the market, in the last version of each observation."""
+    latest = latest_view(spark, d)
+    # One row, bounded by the calendar.
+    targets = _series(spark, d).agg(F.collect_set(F.last_day("day")).alias("month_ends"))
+    asked = latest.select("indicator_id", "area_code").distinct().crossJoin(F.broadcast(targets)).select(
+        "indicator_id", "area_code", F.explode("month_ends").alias("month_end")
+    )
+    held = latest.where("value is not null").select("indicator_id", "area_code", "obs_day", "value")
+    found = series.asof_join(asked, held, ["indicator_id", "area_code"], "month_end", "obs_day", ["value"])
+    return found.select("indicator_id", "area_code", "month_end", F.col("since").alias("obs_day"), "value")
+
+
 # Preparation
 
 
