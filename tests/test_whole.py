@@ -1,11 +1,13 @@
 """Queries that must take in every series of their tables, over small tables written here."""
 
 from datetime import date as D
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import duckdb
+import numpy as np
 
 import __spark_entry__ as entry
+from tidegauge.operators import regime
 
 
 def write(spark, folder, name, rows, schema):
@@ -65,3 +67,39 @@ def test_days_of_any_year_are_aligned(spark, tmp_path):
     aligned(spark, tmp_path, observed, [("A", datetime(1998, 5, 4), 7.0), ("A", datetime(2030, 5, 6), 9.0)])
     got = entry.queries()["align_asof"](spark, str(tmp_path)).collect()
     assert {r.day.year: r.value for r in got} == {1995: None, 1999: 7.0, 2031: 9.0, 2044: 9.0}
+
+
+def test_markov_is_fitted_on_what_it_decodes(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(24):
+        at = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, 300)))
+        rows += [(1000 * k + i, f"T{k}", datetime(2020, 1, 1) + timedelta(i), float(v)) for i, v in enumerate(at)]
+    write(spark, tmp_path, "market_close", rows, CLOSE)
+    seen, decode = {}, regime.decode
+    monkeypatch.setattr(regime, "decode", lambda t, key, day, features, model: seen.update(t=t, m=model) or decode(t, key, day, features, model))
+    got = entry.queries()["hmm_decode"](spark, str(tmp_path)).collect()
+    months = np.array([[r["move"], r["fall"]] for r in seen["t"].collect()])
+    assert len(got) == len(months) and {r.state for r in got} == {0, 1, 2} and all(r.probability is not None for r in got)
+    assert np.allclose(seen["m"].mean, months.mean(axis=0)) and np.allclose(seen["m"].std, months.std(axis=0))
+    ll = seen["m"].log_likelihoods
+    assert all(b >= a - 0.01 * abs(a) for a, b in zip(ll, ll[1:])) and ll[-1] > ll[0]
+
+
+def test_markov_over_one_sequence_is_the_plain_one(spark):
+    rng = np.random.default_rng(5)
+    truth = np.repeat([0, 1, 0, 1], 60)
+    x = np.c_[rng.normal(truth * 4, 1), rng.normal(-truth * 3, 1)]
+    t = spark.createDataFrame([("k", D(2000, 1, 1) + timedelta(i), float(a), float(b)) for i, (a, b) in enumerate(x)], "k string, d date, a double, b double")
+    want = regime.fit_markov(x, states=2, rounds=8, tolerance=0)
+    got = regime.fit_markov_all(t, "k", "d", ["a", "b"], states=2, rounds=8, tolerance=0)
+    for name in ("mean", "std", "start", "change", "centres", "covariances", "log_likelihoods"):
+        assert np.allclose(getattr(got, name), getattr(want, name), atol=1e-6), name
+
+
+def test_markov_sums_don_t_depend_on_padding(spark):
+    rng = np.random.default_rng(2)
+    x = [rng.normal(size=(n, 2)) for n in (1, 7, 3, 12)]
+    m = regime.Markov(np.zeros(2), np.ones(2), np.array([0.7, 0.3]), np.array([[0.9, 0.1], [0.2, 0.8]]), np.array([[0.0, 1.0], [1.0, -1.0]]), np.array([np.eye(2)] * 2), [])
+    one = np.sum([np.frombuffer(regime._expect([s], m).packed()) for s in x], axis=0)
+    assert np.allclose(np.frombuffer(regime._expect(x, m).packed()), one) and one[0] == 4

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.session import durable, spread
+
 # US business-cycle turning points and the days they were announced (NBER).
 TURNING_POINTS = [
     ("1980-01-01", "peak", "1980-06-03"), ("1980-07-01", "trough", "1981-07-08"),
@@ -135,6 +138,126 @@ def fit_markov(features: np.ndarray, states: int = 3, rounds: int = 200, toleran
     return m
 
 
+@dataclass
+class _Sums:
+    """Expected counts and moments of some sequences under a model."""
+
+    sequences: float
+    log_likelihood: float
+    start: np.ndarray
+    pairs: np.ndarray
+    weight: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+
+    def packed(self) -> bytes:
+        parts = [np.array([self.sequences, self.log_likelihood]), self.start, self.pairs, self.weight, self.first, self.second]
+        return np.concatenate([p.ravel() for p in parts]).tobytes()
+
+
+def _unpack(blob: bytes | np.ndarray, k: int, d: int) -> _Sums:
+    v = np.frombuffer(blob) if isinstance(blob, bytes) else blob
+    at = np.cumsum([2, k, k * k, k, k * d])
+    head, start, pairs, weight, first, second = np.split(v, at)
+    return _Sums(head[0], head[1], start, pairs.reshape(k, k), weight, first.reshape(k, d), second.reshape(k, d, d))
+
+
+def _expect(sequences: Sequence[np.ndarray], m: Markov) -> _Sums:
+    """Forward and backward over many sequences of standardised rows at once, padded to the longest."""
+    k, d = m.centres.shape
+    sizes = np.array([len(x) for x in sequences])
+    n, longest = len(sizes), int(sizes.max())
+    inside = np.arange(longest)[None, :] < sizes[:, None]
+    x = np.zeros((n, longest, d))
+    x[inside] = np.concatenate(sequences)
+    log_b = np.zeros((n, longest, k))
+    log_b[inside] = _densities(x[inside], m)
+    shift = log_b.max(axis=2)
+    b = np.exp(log_b - shift[:, :, None])
+    alpha, beta, log_scale = np.zeros((n, longest, k)), np.ones((n, longest, k)), np.zeros((n, longest))
+    for t in range(longest):
+        on = inside[:, t]
+        a = (m.start if t == 0 else alpha[on, t - 1] @ m.change) * b[on, t]
+        total = a.sum(axis=1)
+        alpha[on, t], log_scale[on, t] = a / total[:, None], np.log(total) + shift[on, t]
+    pairs = np.zeros((k, k))
+    for t in range(longest - 2, -1, -1):
+        on = inside[:, t + 1]
+        ahead = b[on, t + 1] * beta[on, t + 1]
+        v = ahead @ m.change.T
+        beta[on, t] = v / v.sum(axis=1, keepdims=True)
+        xi = alpha[on, t][:, :, None] * m.change * ahead[:, None, :]
+        pairs += (xi / xi.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+    gamma = alpha[inside] * beta[inside]
+    gamma /= gamma.sum(axis=1, keepdims=True)
+    rows, opening = x[inside], np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    return _Sums(
+        n, float(log_scale.sum()), gamma[opening].sum(axis=0), pairs, gamma.sum(axis=0), gamma.T @ rows,
+        np.einsum("nk,ni,nj->kij", gamma, rows, rows),
+    )
+
+
+def fit_markov_all(
+    table: DataFrame, key: str, day: str, features: Sequence[str], states: int = 3, rounds: int = 50, tolerance: float = 1e-6, lot: int = 2000
+) -> Markov:
+    """Expectation maximisation over the sequences of all keys, each of its own start; the start is as in fit_markov.
+
+    Every row has the same weight in the scale, the start and the sums. Each round
+    every partition adds up its sequences' statistics, in lots of bounded size, and
+    only those sums come to the driver. Rounds end when the log-likelihood gains less
+    than tolerance a row. Rows with a null feature are left out, as in decode.
+    """
+    d = len(features)
+    slim = table.select(key, day, *[F.col(f).cast("double") for f in features]).na.drop(subset=list(features))
+    rows = F.array_sort(F.collect_list(F.struct(F.col(day).alias("day"), *[F.col(f).alias(f"x{i}") for i, f in enumerate(features)])))
+    data = durable(spread(slim.groupBy(key).agg(rows.alias("rows")).select(*[F.col(f"rows.x{i}").alias(f"x{i}") for i in range(d)])))
+    each = data.select(F.inline(F.arrays_zip(*[f"x{i}" for i in range(d)])))
+    cuts = [(j + 1) / states for j in range(states - 1)]
+    whole = each.agg(
+        F.count("*").alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(d)], *[F.stddev_pop(f"x{i}").alias(f"s{i}") for i in range(d)],
+        F.percentile_approx("x0", cuts, 100_000).alias("cuts"),
+    ).first()
+    if not whole["n"]:
+        raise ValueError("no rows to fit on")
+    mean, std = np.array([whole[f"m{i}"] for i in range(d)]), np.array([whole[f"s{i}"] or 1.0 for i in range(d)])
+    group = sum(((F.col("x0") > float(c)).cast("int") for c in whole["cuts"]), F.lit(0))
+    centres = np.zeros((states, d))
+    for r in each.groupBy(group.alias("g")).agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(d)]).collect():
+        centres[r["g"]] = (np.array([r[f"m{i}"] for i in range(d)]) - mean) / std
+    ridge = 1e-3 * np.eye(d)
+    m = Markov(
+        mean, std, np.full(states, 1 / states), np.full((states, states), 0.1 / max(1, states - 1)) + np.eye(states) * (0.9 - 0.1 / max(1, states - 1)),
+        centres, np.array([np.eye(d)] * states), [],
+    )
+    for _ in range(rounds):
+        model = m
+
+        def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = 0.0
+            for pdf in batches:
+                if pdf.empty:
+                    continue
+                flat = np.column_stack([np.concatenate(pdf[f"x{i}"].to_numpy()) for i in range(d)])
+                held = sorted(np.split((flat - model.mean) / model.std, np.cumsum(pdf["x0"].map(len))[:-1]), key=len)
+                for i in range(0, len(held), lot):
+                    total = total + np.frombuffer(_expect(held[i : i + lot], model).packed())
+            if not np.isscalar(total):
+                yield pd.DataFrame({"part": [int(TaskContext.get().partitionId())], "sums": [total.tobytes()]})
+
+        parts = sorted(data.mapInPandas(add, "part int, sums binary").collect(), key=lambda r: r["part"])
+        s = _unpack(np.sum([np.frombuffer(r["sums"]) for r in parts], axis=0), states, d)
+        weight = np.maximum(s.weight, 1e-9)
+        centres = s.first / weight[:, None]
+        m = Markov(
+            mean, std, (s.start + 1e-9) / (s.start + 1e-9).sum(), (s.pairs + 1e-9) / (s.pairs + 1e-9).sum(axis=1, keepdims=True), centres,
+            s.second / weight[:, None, None] - np.einsum("ki,kj->kij", centres, centres) + ridge, [*m.log_likelihoods, s.log_likelihood],
+        )
+        ll = m.log_likelihoods
+        if len(ll) > 1 and abs(ll[-1] - ll[-2]) < tolerance * whole["n"]:
+            break
+    return m
+
+
 def decode(table: DataFrame, key: str, day: str, features: Sequence[str], model: Markov) -> DataFrame:
     """key, day, state (most likely path) and probability (filtered, of that state); rows with a null feature are left out."""
     slim = table.select(key, day, *[F.col(f).cast("double") for f in features]).na.drop(subset=list(features))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -459,12 +458,11 @@ def last_known_label(spark, d):
 
 @query()
 def hmm_decode(spark, d):
-    """States of each ticker's months by a model fitted on the mean month of all tickers."""
+    """States of each ticker's months by a model fitted on the months of all tickers."""
     f = _features(spark, d).where("move is not null and fall is not null")
     months = f.groupBy(F.col("id").alias("ticker"), F.last_day("day").alias("month_end")).agg(F.avg("move").alias("move"), F.avg("fall").alias("fall"))
-    mean = months.groupBy("month_end").agg(F.avg("move").alias("move"), F.avg("fall").alias("fall")).orderBy("month_end")
-    fitted = np.array([[r["move"], r["fall"]] for r in mean.collect()])
-    return regime.decode(months, "ticker", "month_end", ["move", "fall"], regime.fit_markov(fitted, rounds=50))
+    features = ["move", "fall"]
+    return regime.decode(months, "ticker", "month_end", features, regime.fit_markov_all(months, "ticker", "month_end", features, rounds=50))
 
 
 # Regressions and signals
