@@ -7,7 +7,7 @@ import duckdb
 import numpy as np
 
 import __spark_entry__ as entry
-from tidegauge.operators import regime
+from tidegauge.operators import regime, rolling
 
 
 def write(spark, folder, name, rows, schema):
@@ -103,3 +103,31 @@ def test_markov_sums_don_t_depend_on_padding(spark):
     m = regime.Markov(np.zeros(2), np.ones(2), np.array([0.7, 0.3]), np.array([[0.9, 0.1], [0.2, 0.8]]), np.array([[0.0, 1.0], [1.0, -1.0]]), np.array([np.eye(2)] * 2), [])
     one = np.sum([np.frombuffer(regime._expect([s], m).packed()) for s in x], axis=0)
     assert np.allclose(np.frombuffer(regime._expect(x, m).packed()), one) and one[0] == 4
+
+
+DAILY = "entity string, day date, amount double"
+
+
+def same(rows, want):
+    plain = lambda rs: sorted((r.entity, r.day, r.window_days, r.n, round(r.total, 6)) for r in rs)
+    assert plain(rows.collect()) == plain(want.collect())
+
+
+def test_a_ticker_that_resumes_keeps_its_window(spark):
+    before = [("a", D(2021, 1, 1), 1.0), ("a", D(2021, 1, 5), 2.0), ("b", D(2021, 1, 9), 4.0)]
+    today = D(2021, 1, 10)
+    daily = spark.createDataFrame([*before, ("a", today, 8.0), ("b", today, 16.0), ("c", today, 32.0)], DAILY)
+    held = spark.createDataFrame(before, DAILY)
+    whole = rolling.rolling_state(daily)
+    same(rolling.advance(rolling.rolling_state(held), daily, today, 1), whole.where(f"day = '{today}'"))
+    carried = rolling.rolling_state(held, until=D(2021, 1, 9))
+    same(carried.unionByName(rolling.advance(carried, daily, today, 1)), whole)
+
+
+def test_a_late_amount_extends_the_range(spark):
+    old = spark.createDataFrame([("a", D(2021, 3, 1), 1.0), ("a", D(2021, 3, 3), 2.0)], DAILY)
+    late = [("a", D(2021, 1, 1), 4.0), ("a", D(2021, 4, 20), 8.0), ("n", D(2021, 3, 2), 16.0)]
+    daily = old.unionByName(spark.createDataFrame(late, DAILY))
+    state = rolling.rolling_state(old)
+    new = rolling.correct(state, daily, spark.createDataFrame([r[:2] for r in late], "entity string, day date"), 1)
+    same(rolling.current(state.unionByName(new)), rolling.rolling_state(daily))

@@ -26,8 +26,8 @@ def daily_amounts(rows: DataFrame, entity: str, day_column: str, value: str, ord
     )
 
 
-def rolling_state(daily: DataFrame, windows: Sequence[int] = (7, 30), version: int = 0) -> DataFrame:
-    """State of every day from an entity's first to its last: entity, day, window_days, n, total, average, version.
+def rolling_state(daily: DataFrame, windows: Sequence[int] = (7, 30), version: int = 0, until: date | None = None) -> DataFrame:
+    """State of every day from an entity's first to its last, or on to until: entity, day, window_days, n, total, average, version.
 
     Input is daily(entity, day, amount), one row per entity and day. Each day's
     total is the day before's plus the arrivals less the amounts that expire;
@@ -40,7 +40,8 @@ def rolling_state(daily: DataFrame, windows: Sequence[int] = (7, 30), version: i
     exact = F.expr(f"try_cast(amount as {EXACT})")
     by_day = Window.partitionBy("entity").orderBy("day")
     plain = daily.select("entity", "day", exact.alias("x"), F.lit(1).alias("n"), exact.isNull().cast("int").alias("odd"))
-    following = F.coalesce(F.date_sub(F.lead("day").over(by_day), 1), F.col("day"))
+    end = F.col("day") if until is None else F.greatest("day", F.lit(until))
+    following = F.coalesce(F.date_sub(F.lead("day").over(by_day), 1), end)
     dense = plain.withColumn("upto", following).select(
         "entity", "x", "n", "odd", F.posexplode(F.expr("sequence(day, upto, interval 1 day)")).alias("k", "day")
     )
@@ -84,8 +85,10 @@ def advance(
 ) -> DataFrame:
     """State of one further day from the day before's state, today's arrivals and the expiring amounts.
 
-    daily must hold today's amounts and those of the days that expire. Entities
-    that have neither yesterday's state nor an arrival today get no row.
+    daily must hold the amounts of today and of the longest window before it.
+    Where an entity with an arrival has no state of yesterday, the start is summed
+    from daily. Entities that have neither get no row; rolling_state's until
+    carries the state on, so that no day of a pause is absent.
     """
     before = state.where(F.col("day") == F.date_sub(F.lit(today), 1))
     latest = before.groupBy("entity", "window_days").agg(
@@ -94,6 +97,13 @@ def advance(
     arrived = daily.where(F.col("day") == F.lit(today)).select(
         "entity", F.col("amount").alias("a"), F.lit(1).alias("an"), _each_window(windows)
     )
+    held = daily.where(F.col("day").between(F.date_sub(F.lit(today), max(windows)), F.date_sub(F.lit(today), 1)))
+    opening = (
+        arrived.select("entity", "window_days").join(latest, ["entity", "window_days"], "left_anti").join(held, "entity")
+        .where(F.col("day") >= F.expr(f"date_sub(date'{today}', window_days)")).groupBy("entity", "window_days")
+        .agg(F.count("*").cast("int").alias("n"), F.sum(F.expr(f"try_cast(amount as {EXACT})")).cast("double").alias("total"))
+    )
+    latest = latest.unionByName(opening)
     leaving = (
         daily.select("entity", "day", F.col("amount").alias("e"), F.lit(1).alias("en"), _each_window(windows))
         .where(F.col("day") == F.expr(f"date_sub(date'{today}', window_days)"))
@@ -115,13 +125,25 @@ def correct(
 
     A corrected day affects the windows that end on it or on the following
     window_days - 1 days; only those rows are computed again, from the amounts
-    of their own windows.
+    of their own windows. A late amount before an entity's first day or after its
+    last adds all days between; an entity without state gets its first.
     """
+    bounds = state.groupBy("entity").agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
+    late = corrected.join(daily.select("entity", "day"), ["entity", "day"], "left_semi").groupBy("entity").agg(
+        F.min("day").alias("first"), F.max("day").alias("last")
+    )
+    span = corrected.select("entity").distinct().join(bounds, "entity", "left").join(late, "entity", "left").select(
+        "entity", "lo", "hi", F.least("lo", "first").alias("low"), F.greatest("hi", "last").alias("high")
+    ).where("low is not null")
+    added = (
+        span.where("lo is null or low < lo or high > hi").withColumn("day", F.explode(F.expr("sequence(low, high, interval 1 day)")))
+        .where("lo is null or day < lo or day > hi").select("entity", _each_window(windows), "day")
+    )
     touched = (
         corrected.select("entity", F.col("day").alias("changed"), _each_window(windows))
         .withColumn("day", F.explode(F.expr("sequence(changed, date_add(changed, window_days - 1), interval 1 day)")))
-        .select("entity", "window_days", "day").distinct()
-        .join(state.select("entity", "window_days", "day").distinct(), ["entity", "window_days", "day"], "left_semi")
+        .join(span, "entity").where("day between low and high")
+        .select("entity", "window_days", "day").unionByName(added).distinct()
     )
     parts = touched.withColumn(
         "of", F.explode(F.expr("sequence(date_sub(day, window_days - 1), day, interval 1 day)"))
