@@ -8,6 +8,7 @@ import numpy as np
 
 import __spark_entry__ as entry
 from tidegauge.operators import regime, rolling
+from tidegauge.streaming import revisions
 
 
 def write(spark, folder, name, rows, schema):
@@ -131,3 +132,14 @@ def test_a_late_amount_extends_the_range(spark):
     state = rolling.rolling_state(old)
     new = rolling.correct(state, daily, spark.createDataFrame([r[:2] for r in late], "entity string, day date"), 1)
     same(rolling.current(state.unionByName(new)), rolling.rolling_state(daily))
+
+
+def test_old_revisions_of_a_later_batch_are_kept(spark, tmp_path):
+    schema = "indicator_id string, area_code string, obs_date timestamp_ntz, value double, realtime_start timestamp_ntz"
+    row = lambda year, value: ("i", "x", datetime(2000, 1, 1), value, datetime(year, 1, 1))
+    (tmp_path / "in").mkdir()
+    stream = revisions.fresh_revisions(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    for batch in ([row(2023, 1.0), row(2023, 1.0)], [row(2023, 1.5)], [row(2005, 2.0), row(2010, 3.0), row(2023, 1.0)]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        revisions.append_batches(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    assert sorted(r.value for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1.0, 1.5, 2.0, 3.0]
