@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Days per time bucket of the containment join.
 BUCKET_DAYS = 64
+#: Places of the hashed set of asked entities; it bounds that set's broadcast, whatever the number of entities.
+ASKED_PLACES = 1 << 21
 #: End of a version that is still valid.
 OPEN_END = "9999-12-31"
 
@@ -16,17 +18,21 @@ OPEN_END = "9999-12-31"
 def latest_per_day(
     changes: DataFrame, keys: Sequence[str], change_day: str, order_by: str, payload: Sequence[str]
 ) -> DataFrame:
-    """One row per entity and change day: the payload of the highest order_by.
+    """One row per entity and change day with the payload of the highest order_by: keys, __start, order_by, payload.
 
     A null order_by counts as lowest. The aggregation combines before the
     shuffle, so an entity with very many rows sends one row per task and day.
+    Whole-number orders and fixed-width payloads keep it a hash aggregation.
     """
-    ranked = F.struct(F.col(order_by).isNotNull().alias("r"), F.col(order_by).alias("o"))
-    body = F.struct(F.col(order_by).alias(order_by), *[F.col(c).alias(c) for c in payload if c != order_by])
+    whole = dict(changes.dtypes)[order_by] in ("tinyint", "smallint", "int", "bigint")
+    ranked = (
+        F.coalesce(F.col(order_by).cast("long"), F.lit(-(2**63))) if whole
+        else F.struct(F.col(order_by).isNotNull().alias("r"), F.col(order_by).alias("o"))
+    )
     return (
         changes.where(F.col(change_day).isNotNull())
         .groupBy(*[F.col(k) for k in keys], F.col(change_day).alias("__start"))
-        .agg(F.max_by(body, ranked).alias("__body"))
+        .agg(F.max(order_by).alias(order_by), *[F.max_by(c, ranked).alias(c) for c in payload if c != order_by])
     )
 
 
@@ -52,6 +58,9 @@ def join_as_of(
     time buckets and met by an equi-join on entity and bucket. The buckets of an
     interval reach only over the days for which its entity has events at all, so
     an entity costs at most its changes plus its span of events in buckets.
+    Changes of entities without events are dropped where they are read, by a
+    hashed set of the asked entities, which has ASKED_PLACES rows at most; those
+    that share a place with an asked one go at the exact join.
 
     Events of a null key, of a null day or of a day before the first change get
     no row; repeated events give repeated rows. Further columns of either side
@@ -66,14 +75,13 @@ def join_as_of(
         {k2: F.col(k) for k2, k in zip(inner, keys)} | {"__day": F.col(event_day)}
     ).where(" and ".join(f"{k} is not null" for k in [*inner, "__day"]))
     span = asked.groupBy(*inner).agg(F.min("__day").alias("__lo"), F.max("__day").alias("__hi"))
-    versions = latest_per_day(
-        changes.select(
-            *[F.col(k).alias(k2) for k2, k in zip(inner, keys)],
-            F.col(change_day).alias("__change"),
-            *[F.col(c) for c in dict.fromkeys([order_by, *payload])],
-        ),
-        inner, "__change", order_by, payload,
-    )
+    carried = list(dict.fromkeys([order_by, *payload]))
+    place = F.pmod(F.xxhash64(*inner), F.lit(ASKED_PLACES)).alias("__place")
+    slim = changes.select(
+        *[F.col(k).alias(k2) for k2, k in zip(inner, keys)], F.col(change_day).alias("__change"), *[F.col(c) for c in carried]
+    ).select("*", place)
+    wanted = slim.join(F.broadcast(asked.select(place).distinct()), "__place", "left_semi").drop("__place")
+    versions = latest_per_day(wanted, inner, "__change", order_by, payload)
     entity = Window.partitionBy(*inner)
     intervals = (
         versions.join(span, inner)
@@ -88,13 +96,13 @@ def join_as_of(
                 )
             ),
         )
-        .select(*inner, "__b", "__start", "__end", "__body")
+        .select(*inner, "__b", "__start", "__end", *carried)
     )
     return (
         asked.withColumn("__b", _bucket(F.col("__day"), bucket_days))
         .join(intervals, [*inner, "__b"])
         .where((F.col("__start") <= F.col("__day")) & (F.col("__end").isNull() | (F.col("__day") < F.col("__end"))))
-        .select(*events.columns, *[F.col(f"__body.{c}").alias(c) for c in dict.fromkeys([order_by, *payload])])
+        .select(*events.columns, *carried)
     )
 
 
@@ -109,49 +117,43 @@ def history(
 
     Per entity and day the row with the highest order_by counts. A version starts
     on the entity's first day and wherever the attributes differ from the day
-    before in that list; null is a value, and equal nulls are no change. A hash
-    of the attributes marks the changes, confirmed on the attributes themselves,
-    a running sum numbers the islands, and each island's first day and the next
-    island's first day are its period. valid_to of the last is 9999-12-31.
-    Null keys form an entity of their own; rows without a day are left out.
+    before in that list; null is a value, and equal nulls are no change, nor are
+    0.0 and -0.0. A hash of the attributes that differs from the day before marks
+    a change; only where the hashes agree are the attributes themselves compared,
+    against a collision. A running sum of the marks numbers the islands, and each
+    island's first day and the next island's first day are its period. valid_to of
+    the last is 9999-12-31. Null keys form an entity of their own; rows without a
+    day are left out.
     """
     inner = [f"__k{i}" for i in range(len(keys))]
+    held = [f"__a{i}" for i in range(len(attributes))]
     slim = changes.select(
         *[F.col(k).alias(k2) for k2, k in zip(inner, keys)],
         F.col(change_day).alias("__change"),
         F.col(order_by).alias("__order"),
-        F.struct(*[F.col(a).alias(a) for a in attributes]).alias("__attrs"),
+        *[F.col(a).alias(a2) for a2, a in zip(held, attributes)],
     )
-    days = latest_per_day(slim, inner, "__change", "__order", ["__attrs"]).select(
-        *inner, "__start", F.col("__body.__attrs").alias("__attrs")
-    )
-    numeric = {a for a, kind in changes.select(*attributes).dtypes if kind in ("double", "float")}
-    parts = [F.col(f"__attrs.{a}") + F.lit(0.0) if a in numeric else F.col(f"__attrs.{a}") for a in attributes]
-    flags = [F.col(f"__attrs.{a}").isNull() for a in attributes]
+    days = latest_per_day(slim, inner, "__change", "__order", held).drop("__order")
+    numeric = {a for a, kind in days.select(*held).dtypes if kind in ("double", "float")}
+    # One form of zero and of NaN, so that equal values have equal hashes.
+    plain = [F.when(F.isnan(a), float("nan")).otherwise(F.col(a) + F.lit(0.0)) if a in numeric else F.col(a) for a in held]
     by_day = Window.partitionBy(*inner).orderBy("__start")
-    before = F.lag("__attrs").over(by_day)
     same = F.lit(True)
-    for a in attributes:
-        same = same & F.col(f"__attrs.{a}").eqNullSafe(F.col(f"__before.{a}"))
-    marked = (
-        days.withColumn("__hash", F.xxhash64(*parts, *flags))
-        .withColumns({"__before": before, "__before_hash": F.lag("__hash").over(by_day)})
-        .withColumn(
-            "__new",
-            F.when(F.col("__before_hash").isNull(), 1)
-            .when((F.col("__hash") == F.col("__before_hash")) & same, 0)
-            .otherwise(F.when(same, 0).otherwise(1)),
-        )
+    for a in held:
+        same = same & F.col(a).eqNullSafe(F.lag(a).over(by_day))
+    before = F.lag("__hash").over(by_day)
+    marked = days.withColumn("__hash", F.xxhash64(*plain, *[F.col(a).isNull() for a in held])).withColumn(
+        "__new", F.when(before.isNull() | (F.col("__hash") != before), 1).when(same, 0).otherwise(1)
     )
     islands = (
         marked.withColumn("__island", F.sum("__new").over(by_day.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy(*inner, "__island")
-        .agg(F.min("__start").alias("valid_from"), F.min_by("__attrs", "__start").alias("__attrs"))
+        .agg(F.min("__start").alias("valid_from"), *[F.min_by(a, "__start").alias(a) for a in held])
     )
     following = F.lead("valid_from").over(Window.partitionBy(*inner).orderBy("valid_from"))
     return islands.withColumn("__next", following).select(
         *[F.col(k2).alias(k) for k2, k in zip(inner, keys)],
-        *[F.col(f"__attrs.{a}").alias(a) for a in attributes],
+        *[F.col(a2).alias(a) for a2, a in zip(held, attributes)],
         "valid_from",
         F.coalesce("__next", F.lit(OPEN_END).cast("date")).alias("valid_to"),
         F.col("__next").isNull().alias("is_current"),

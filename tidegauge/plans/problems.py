@@ -107,28 +107,33 @@ def p5_history(spark: SparkSession, d: str) -> DataFrame:
     return validity.history(usable, OBSERVATION, "known_day", "row_id", ["value"])
 
 
+def _rolling(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "market_close").select("ticker", day("obs_date").alias("day"), "close", "row_id")
+    return rolling.maintained(rows, "ticker", "day", "close", "row_id")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return rolling.rolling_state(_closes(spark, d)).where("n = 0").select(
+    return rolling.empty_windows(_rolling(spark, d)).select(
         F.col("entity").alias("ticker"), F.date_format("day", "yyyy-MM-dd").alias("obs_day"), "window_days"
     )
 
 
 def _rounded(state: DataFrame) -> DataFrame:
-    return state.select(
+    return rolling.figures(state).select(
         "entity", F.date_format("day", "yyyy-MM-dd").alias("obs_day"), "window_days", "n",
         F.round("total", 4).alias("total"), F.round("average", 8).alias("average"),
     )
 
 
 def p6_rolling(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(rolling.rolling_state(_closes(spark, d)))
+    return _rounded(_rolling(spark, d))
 
 
 def p6_panel_rolling(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "vintage_panel").where("value is not null").select(
         F.concat_ws("|", "indicator_id", "area_code").alias("series"), day("obs_date").alias("day"), "value", "row_id"
     )
-    return _rounded(rolling.rolling_state(rolling.daily_amounts(rows, "series", "day", "value", "row_id")))
+    return _rounded(rolling.maintained(rows, "series", "day", "value", "row_id"))
 
 
 def queries() -> dict:

@@ -49,7 +49,7 @@ def _intervals(spark: SparkSession, d: str) -> DataFrame:
     rows = _panel(spark, d).where("obs_day is not null")
     versions = validity.latest_per_day(rows, OBSERVATION, "known_day", "row_id", ["row_id", "value"])
     until = F.lead("__start").over(Window.partitionBy(*OBSERVATION).orderBy("__start"))
-    return versions.select(*OBSERVATION, F.col("__start").alias("known_day"), until.alias("until_day"), "__body.row_id", "__body.value")
+    return versions.select(*OBSERVATION, F.col("__start").alias("known_day"), until.alias("until_day"), "row_id", "value")
 
 
 _INTERVALS = f"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -52,13 +53,29 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
+    """df written as Parquet under the shared checkpoint folder and read again: computed once, small on disk, without lineage."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", codec).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Tables of more bytes than this are never spread.
+SPREAD_BYTES = 16 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over at least as many partitions as there are cores, for work in Python.
+    """df dealt out over the cores for work in Python, if the tables it reads have SPREAD_BYTES at most together.
 
-    A table of few splits would occupy few cores; a large one stays as it is, without a shuffle.
+    A small table is one split and would occupy one core. A larger one stays as it
+    lies, without a shuffle, however many cores there are. Only the plan's sizes
+    are asked, no job is run.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
 
 
 _shipped: set[str] = set()
