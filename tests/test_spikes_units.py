@@ -67,11 +67,13 @@ def test_aliases_by_context():
     assert units.read_value("25.2 million", "money")[1] == "M_USD" and units.read_value("25.2 million", "number")[1] == "count_m"
     assert units.read_value("9k USD", "money")[1] == "K_USD" and units.read_value("9bn", "money")[1] == "B_USD" and units.read_value("9bps", "ratio")[1] == "bp"
     assert units.unit_of_field("'000 USD", "money") == "K_USD" and units.unit_of_field("per cent", "ratio") == "pct" and units.unit_of_field("PCT", "money") is None
-    assert units.unit_of_note("thousands of forms still open", "number") is None
-    assert units.unit_of_note("percent of filers: 96", "ratio") is None
-    assert units.unit_of_note("stated in units, not thousands, see cover page", "number") == "count"
-    assert units.unit_of_note("(figures are hundredths of a percentage point)", "ratio") == "bp"
-    assert units.unit_of_span("discontinued precursor spliced in, scale unchanged", "money") is None
+    prose = units.unit_of_prose
+    assert prose("thousands of forms still open", "number") is None and prose("checked against 2 million ledger lines", "money") is None
+    assert prose("percent of filers: 96", "ratio") is None and prose("values: thousands of forms open", "number") is None
+    assert prose("stated in units, not thousands, see cover page", "number") == "count"
+    assert prose("(figures are hundredths of a percentage point)", "ratio") == "bp"
+    assert prose("all figures quoted by the bureau as millions of dollars", "money") == "M_USD" and prose("we report k USD", "money") == "K_USD"
+    assert prose("discontinued precursor spliced in, scale unchanged", "money") is None and prose("", "money") is None
 
 
 def test_common_units(spark):
@@ -85,4 +87,6 @@ def test_common_units(spark):
     assert got[50][0] == "M_USD" and abs(got[50][1] - 41.0005) < 1e-9 and got[51] == ("B_USD", 40.5)
     assert got[52] == (None, None) and got[53] == (None, None) and got[54] == ("M_USD", 0.0) and got[55] == ("index", 7.0)
     assert got[57] == ("pct", 3.0)
+    basis = {r.id: r.basis for r in units.common_units(frame).collect()}
+    assert (basis[0], basis[50], basis[51], basis[52], basis[54], basis[55]) == ("home", "level", "level", None, "label", "home")
     assert units.common_units(frame.limit(0)).count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -9,10 +10,10 @@ from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.session import spread
+from tidegauge.session import stored
 
 # Unit codes by family, with the power of ten that leads to the family's base unit.
 FAMILIES = {
@@ -47,7 +48,7 @@ ALIASES = {
         "share", "shares", "fraction", "fractions", "decimal", "ratio of 1", "shares of unity", "fractions of one",
         "decimal shares", "share of one", "ratio",
     ],
-    "count": ["count", "units", "persons", "no.", "single units", "units, not thousands", "number", "heads"],
+    "count": ["count", "units", "persons", "no.", "single units", "number", "heads"],
     "count_k": ["count_k", "'000 units", "thousands of units", "thousands of persons", "thousand units", "'000 persons"],
     "count_m": ["count_m", "mn units", "millions of units", "million units", "millions of persons", "mio. units"],
 }
@@ -58,10 +59,20 @@ SCALES = {
     9: ["b", "bn", "billion", "billions", "mrd."],
     12: ["tn", "trillion", "trillions"],
 }
-# Words of a note that say a unit follows.
-CUES = ["amounts in", "figures are", "stated in", "scale as filed", "unit:", "units:", "values are", "kept amounts in", "filed this series in", "filed in"]
+# Stems of words for quantities and for putting them on record; prose near one states a unit.
+CUES = [
+    "amount", "figure", "value", "number", "unit", "scale", "total", "data", "state", "stating", "express", "report", "record", "file", "filing",
+    "quote", "give", "show", "measure", "denominate", "convert", "kept", "keep",
+]
+#: A cue stands at most so many words before its unit.
+CUE_WORDS = 5
+#: A label is believed while the figure read by it lies within this share of a step between units from the series' level.
+LABEL_SLACK = 0.625
 
 _SPACE = re.compile(r"\s+")
+_PLAIN = re.compile(r"-?\d+(?:\.\d+)?")
+_CUE = re.compile(r"\b(?:" + "|".join(CUES) + r")\w*")
+_COUNTS = re.compile(r" of (?!(?:" + "|".join(("us", "usd", "dollars", "units", "persons", "one", "unity", "a")) + r")\b)")
 _NUMBER = re.compile(r"[-+−]?\d[\d.,' ]*(?:e[-+]?\d+)?|[-+−]?[.,]\d+(?:e[-+]?\d+)?")
 
 
@@ -118,13 +129,28 @@ def unit_of_field(text: str, family: str) -> str | None:
     return _first(aliases(plain(text)), family)
 
 
-def unit_of_note(text: str, family: str) -> str | None:
-    """The unit that a note states; units in a remark about something else don't count."""
+def unit_of_prose(text: str, family: str) -> str | None:
+    """The unit that a note or the reason of a suspect period states.
+
+    An alias states the unit if a cue stands at most CUE_WORDS words before it, the
+    cue no part of it. One with a figure right before it, one that counts other
+    things ("thousands of forms") and one that is denied ("not thousands") are
+    remarks about something else.
+    """
     low = plain(text)
-    after = [low.find(c) + len(c) for c in CUES if c in low]
-    if not after:
+    hits = aliases(low)
+    if not hits:
         return None
-    return _first([h for h in aliases(low) if min(after) <= h[0] <= min(after) + 24], family)
+    cues = [m.end() for m in _CUE.finditer(low)]
+    told = []
+    for hit in hits:
+        start, end = hit[:2]
+        before = low[:start].rstrip(" (")
+        if before[-1:].isdigit() or before.endswith(" not") or _COUNTS.match(low, end):
+            continue
+        if any(c <= start and len(low[c:start].split()) <= CUE_WORDS for c in cues):
+            told.append(hit)
+    return _first(told, family)
 
 
 def number(token: str) -> float | None:
@@ -158,6 +184,9 @@ def number(token: str) -> float | None:
 
 def read_value(text: str, family: str | None) -> tuple[float | None, str | None]:
     """The figure of a value text, and the unit that stands by it."""
+    if _PLAIN.fullmatch(text):
+        value = float(text)
+        return (value if math.isfinite(value) else None), None
     low = plain(text)
     found = _NUMBER.search(low)
     if not found:
@@ -165,8 +194,8 @@ def read_value(text: str, family: str | None) -> tuple[float | None, str | None]
     value = number(found.group())
     if value is None or family is None:
         return value, None
-    rest = low[: found.start()] + " " + low[found.end() :]
-    return value, _first(aliases(rest), family)
+    rest = (low[: found.start()] + " " + low[found.end() :]).strip()
+    return value, _first(aliases(rest), family) if rest else None
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -186,22 +215,14 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         family = [FAMILY_OF.get(u) if isinstance(u, str) else None for u in pdf["home"]]
         read = [read_value(t, f) if isinstance(t, str) else (None, None) for t, f in zip(pdf["text"], family)]
         field = [cached(unit_of_field, t, f) for t, f in zip(pdf["field"], family)]
-        note = [cached(unit_of_note, t, f) for t, f in zip(pdf["note"], family)]
-        span = [cached(unit_of_span, t, f) for t, f in zip(pdf["span"], family)]
+        note = [cached(unit_of_prose, t, f) for t, f in zip(pdf["note"], family)]
+        span = [cached(unit_of_prose, t, f) for t, f in zip(pdf["span"], family)]
         label = [v[1] or b or c or d for v, b, c, d in zip(read, field, note, span)]
         yield pd.DataFrame(
             {"id": pdf["id"], "series": pdf["series"], "home": pdf["home"], "figure": [v[0] for v in read], "label": label}
         ).astype({"figure": "float64"})
 
 
-def unit_of_span(text: str, family: str) -> str | None:
-    """The unit that the reason of a suspect period tells; one that says the scale is unchanged tells none."""
-    low = plain(text)
-    if "scale unchanged" in low or "same scale" in low:
-        return None
-    return _first(aliases(low), family)
-
-
 def _factors(spark) -> DataFrame:
     """Eleven rows: family, unit, power."""
     rows = ", ".join(f"('{f}', '{u}', {p})" for f, units in FAMILIES.items() for u, p in units.items())
@@ -213,62 +234,70 @@ def common_units(records: DataFrame) -> DataFrame:
 
     Input: records(id, series, home, text, field, note, span), where home is the
     indicator's unit and span the reason of the suspect period that the record
-    falls in. Result: id, home, figure, label, unit, value; one row per input row.
-
-    label is the unit that stands by the number, else in the field, else in the
-    note behind a word that announces a unit, else in span: of the aliases found
-    the longest, and a scale word alone is read within the family of home. unit
-    is the one that was really used: of the family's units, a factor of 100 or
-    1000 apart, that which brings the figure nearest to the level of its series.
+    falls in. Result: id, home, figure, label, unit, basis, value; one row per input row.
+
+    label is the unit that stands by the number, else in the field, else in what
+    the note states, else in what span states: of the aliases found the longest,
+    and a scale word alone is read within the family of home. basis tells what
+    decided on unit: label, if the figure read by it fits the level of its series
+    (LABEL_SLACK of a step, a factor of 100 or 1000, between units); home, if there
+    is no label and the figure fits as it stands; else level: of the family's units
+    the one that brings the figure nearest to it, the label being absent or wrong.
     The level is the median magnitude of the series read by its labels, where
     figures without a label count as home and weigh a third.
 
-    A figure that can't be read gives null figure, unit and value. A home of no
-    family (or null) is taken as the unit itself. A figure of zero, which has no
-    magnitude, and an infinite one keep their label or home.
+    A figure that can't be read gives null figure, unit, basis and value. A home of
+    no family (or null) is taken as the unit itself. A figure of zero, which has no
+    magnitude, and an infinite one keep their label or home. Texts are read once;
+    what was read is stored for the levels and the result.
     """
-    spark = records.sparkSession
     kinds = dict(records.dtypes)
-    read = spread(records.select("id", "series", "home", "text", "field", "note", "span")).mapInPandas(
+    read = stored(records.select("id", "series", "home", "text", "field", "note", "span").mapInPandas(
         _read, f"id {kinds['id']}, series string, home string, figure double, label string"
-    )
-    factors = _factors(spark)
+    ))
+    factors = _factors(records.sparkSession)
     own = F.broadcast(factors.select("family", F.col("unit").alias("home"), F.col("power").alias("home_power")))
     said = F.broadcast(factors.select(F.col("unit").alias("label"), F.col("power").alias("label_power")))
     magnitude = F.when(F.col("figure") != 0, F.log10(F.abs("figure")))
-    sized = (
-        read.join(own, "home", "left").join(said, "label", "left")
-        .withColumn("magnitude", magnitude)
-        .withColumn("level", F.round(F.col("magnitude") + F.coalesce("label_power", "home_power"), 2))
-    )
+    sized = read.join(own, "home", "left").join(said, "label", "left").withColumn("magnitude", magnitude)
     weight = F.when(F.col("label").isNull(), 1).otherwise(3)
     # Rounded levels are a few thousand values at most, so the exact median holds a bounded map.
     levels = (
-        sized.where(F.col("level").isNotNull() & F.col("series").isNotNull())
-        .groupBy(F.col("series").alias("s"), "level").agg(F.sum(weight).cast("long").alias("w"))
+        sized.select(F.col("series").alias("s"), F.round(F.col("magnitude") + F.coalesce("label_power", "home_power"), 2).alias("level"), weight.alias("w"))
+        .where("level is not null and s is not null")
+        .groupBy("s", "level").agg(F.sum("w").cast("long").alias("w"))
         .groupBy("s").agg(F.percentile("level", F.lit(0.5), F.col("w")).alias("usual"))
     )
-    def nearest(family: str):
+
+    def by_family(value) -> Column:
+        return functools.reduce(lambda c, f: c.when(F.col("family") == f, value(f)), FAMILIES, F.when(F.lit(False), value("money")))
+
+    def nearest(family: str) -> Column:
         miss = [
             F.struct(F.abs(F.col("magnitude") + F.lit(p) - F.col("usual")).alias("miss"), F.lit(u).alias("unit"))
             for u, p in FAMILIES[family].items()
         ]
         return F.array_min(F.array(*miss))["unit"]
 
-    best = F.when(F.lit(False), F.lit(None).cast("string"))
-    for family in FAMILIES:
-        best = best.when(F.col("family") == family, nearest(family))
-    used = F.broadcast(factors.select(F.col("unit").alias("unit"), F.col("power").alias("unit_power")))
-    chosen = F.when(
-        F.col("figure").isNotNull(),
-        F.when(F.col("magnitude").isNull() | F.col("usual").isNull(), F.coalesce("label", "home")).otherwise(F.coalesce(best, "home")),
+    def slack(family: str) -> Column:
+        powers = sorted(FAMILIES[family].values())
+        return F.lit(LABEL_SLACK * min(b - a for a, b in zip(powers, powers[1:])))
+
+    fits = F.abs(F.col("magnitude") + F.coalesce("label_power", "home_power") - F.col("usual")) <= by_family(slack)
+    basis = (
+        F.when(F.col("figure").isNull(), None)
+        .when(F.col("magnitude").isNull() | F.col("usual").isNull() | F.col("family").isNull() | fits, F.when(F.col("label").isNull(), "home").otherwise("label"))
+        .otherwise("level")
     )
+    used = F.broadcast(factors.select("unit", F.col("power").alias("unit_power")))
+    chosen = F.when(F.col("basis") == "level", by_family(nearest)).when(F.col("basis") == "label", F.col("label")).when(F.col("basis") == "home", F.col("home"))
     return (
         sized.join(levels, F.col("series") == F.col("s"), "left")
+        .withColumn("basis", basis)
         .withColumn("unit", chosen)
         .join(used, "unit", "left")
         .select(
-            "id", "home", "figure", "label", "unit",
+            "id", "home", "figure", "label", "unit", "basis",
             (F.col("figure") * F.pow(F.lit(10.0), F.coalesce(F.col("unit_power") - F.col("home_power"), F.lit(0)))).alias("value"),
         )
     )

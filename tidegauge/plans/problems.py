@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegauge.operators import grid, rolling, spikes, units, validity
+from tidegauge.session import spread
 from tidegauge.tables import day, period_letter, table, with_known_day
 
 OBSERVATION = ["indicator_id", "area_code", "obs_day"]
@@ -76,7 +77,7 @@ def _records(spark: SparkSession, d: str) -> DataFrame:
         "data_quality_suspect_periods",
         lambda p: day("obs_date").between(F.to_date(p["start_date"]), F.to_date(p["end_date"])),
     )
-    rows = table(spark, d, "source_records")
+    rows = spread(table(spark, d, "source_records").select("rec_id", "indicator_id", "area_code", "obs_date", "value_text", "unit_text", "note"))
     return rows.join(meta, rows.indicator_id == meta.m_id, "left").select(
         F.col("rec_id").alias("id"), F.concat_ws("|", "indicator_id", "area_code").alias("series"), "home",
         F.col("value_text").alias("text"), F.col("unit_text").alias("field"), "note",

@@ -74,7 +74,7 @@ def spread(df: DataFrame) -> DataFrame:
     are asked, no job is run.
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    size = sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
 
 
