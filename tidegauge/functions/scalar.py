@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,3 +95,51 @@ def beta_posterior_mean(k: Column, n: Column, prior_mean: float, prior_strength:
 def lowest_cap(*caps: Column) -> Column:
     """Least cap that isn't null; without any, 1."""
     return F.coalesce(F.least(*caps, F.lit(None).cast("double")), F.lit(1.0))
+
+
+def vintage_end(key: Column) -> Column:
+    """Last day of the quarter of a vintage key like 2020Q1; else null."""
+    return F.last_day(F.add_months(quarter_date(key), 2))
+
+
+def published(key: Column, days: int = 14) -> Column:
+    """Day on which a quarter's vintage comes out."""
+    return F.date_add(vintage_end(key), days)
+
+
+def sample_adequacy(n: Column, target: int) -> Column:
+    """Share of confidence that n of target observations give, 1 at most."""
+    return F.least(F.lit(1.0), F.sqrt(n.cast("double") / target))
+
+
+#: Factors to the base of each family of units that can be converted; fixed values.
+UNIT_FACTORS = {
+    "money": {"USD": 1.0, "K_USD": 1e3, "M_USD": 1e6, "B_USD": 1e9, "B_USD_signed": 1e9, "T_USD": 1e12},
+    "percent": {
+        "pct": 0.01, "pct_change": 0.01, "pct_exposure": 0.01, "bp": 1e-4, "share": 1.0, "decimal": 1.0, "ratio": 1.0,
+    },
+}
+
+
+def in_unit(value: Column, unit: Column, target: str) -> Column:
+    """value in the target unit; a unit that isn't of the target's family, or null, raises where value isn't null."""
+    factors = next((f for f in UNIT_FACTORS.values() if target in f), None)
+    if factors is None:
+        raise ValueError(f"no unit {target}")
+    table = F.create_map(*[x for u, f in factors.items() for x in (F.lit(u), F.lit(f / factors[target]))])
+    refused = F.raise_error(F.concat(F.lit("can't convert "), F.coalesce(unit, F.lit("null")), F.lit(f" to {target}"))).cast("double")
+    return F.when(value.isNotNull(), value * F.coalesce(F.try_element_at(table, unit), refused))
+
+
+def normal_tail(z: Column) -> Column:
+    """Two-sided tail of the standard normal beyond z, by a rational approximation good to 1.2e-7 of itself."""
+    x = F.abs(z) / math.sqrt(2.0)
+    t = 1.0 / (1.0 + 0.5 * x)
+    series = F.lit(0.0)
+    for c in reversed(TAIL_COEFFICIENTS):
+        series = series * t + c
+    return t * F.exp(-x * x + series)
+
+
+# A published Chebyshev fit of the complementary error function.
+TAIL_COEFFICIENTS = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)

@@ -50,6 +50,40 @@ def state_at(query_day: Column, as_of: Column) -> Column:
     )
 
 
+def announcement_of(month: Column, kind: Column) -> Column:
+    """Day on which the turning point of exactly this month and kind was announced; null if there is none."""
+    met = F.filter(_calendar(), lambda p: (p["month"] == F.trunc(month, "month")) & (p["kind"] == kind))
+    return F.try_element_at(met, F.lit(1))["announced"]
+
+
+#: Before this month announcements have no reliable dates.
+BOUNDARY = "1978-01-01"
+
+
+def state_by_policy(query_day: Column, as_of: Column, real_time: Column, label: Column, label_until: Column) -> Column:
+    """struct(state, source, refused) of a month under a policy on what may be used.
+
+    Without as_of: the label, up to label_until, the last day that is labelled. From
+    BOUNDARY on: the calendar as announced by as_of. Earlier months: in real time
+    refused; else (training) the label. refused says why there is no state; a label
+    is 1 for recession and 0 for expansion.
+    """
+    words = F.when(label == 1, "recession").when(label == 0, "expansion")
+    known = state_at(query_day, as_of)
+    early = query_day < F.lit(BOUNDARY).cast("date")
+    by_label = as_of.isNull() | early
+    refused = (
+        F.when(as_of.isNotNull() & early & real_time, "training only")
+        .when(by_label & (label_until.isNull() | (query_day > label_until)), "past the last label")
+        .when(by_label & words.isNull(), "no label")
+        .when(~by_label & last_point(as_of).isNull(), "nothing announced")
+        .when(~by_label & known.isNull(), "before the first known point")
+    )
+    state = F.when(refused.isNull(), F.when(by_label, words).otherwise(known))
+    source = F.when(refused.isNull(), F.when(by_label & as_of.isNotNull(), "label, training only").when(by_label, "label").otherwise("calendar"))
+    return F.struct(state.alias("state"), source.alias("source"), refused.alias("refused"))
+
+
 def vote(rules: Mapping[str, Sequence[Column]], least: int = 2, otherwise: str = "indeterminate") -> Column:
     """The label with most true rules, at least so many; of equals the one named first. A null rule isn't true."""
     order = list(rules)

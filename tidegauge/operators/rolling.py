@@ -30,20 +30,14 @@ def _totals(windows: Sequence[int]) -> dict[str, tuple[str, int, str]]:
 
 def daily_amounts(rows: DataFrame, entity: str, day_column: str, value: str, order_by: str) -> DataFrame:
     """entity, day, amount: per entity and day the row with the highest order_by, if it isn't null."""
-    return _days(rows, entity, day_column, value, order_by).select("entity", "day", F.col("last").alias("amount")).where("amount is not null")
+    return _usable(rows, entity, day_column, value, order_by).groupBy("entity", "day").agg(F.max_by("amount", "o").alias("amount")).where("amount is not null")
 
 
-def _days(rows: DataFrame, entity: str, day_column: str, value: str, order_by: str) -> DataFrame:
-    """Per entity and day the amounts of the lowest and of the highest order_by, and when the day first came."""
-    return (
-        rows.select(
-            F.col(entity).alias("entity"), F.col(day_column).alias("day"),
-            F.col(value).cast("double").alias("amount"), F.col(order_by).alias("o"),
-        )
-        .where(F.col("entity").isNotNull() & F.col("day").isNotNull() & F.col("o").isNotNull())
-        .groupBy("entity", "day")
-        .agg(F.min_by("amount", "o").alias("first"), F.max_by("amount", "o").alias("last"), F.min("o").alias("came"))
-    )
+def _usable(rows: DataFrame, entity: str, day_column: str, value: str, order_by: str) -> DataFrame:
+    return rows.select(
+        F.col(entity).alias("entity"), F.col(day_column).alias("day"),
+        F.col(value).cast("double").alias("amount"), F.col(order_by).alias("o"),
+    ).where(F.col("entity").isNotNull() & F.col("day").isNotNull() & F.col("o").isNotNull())
 
 
 def arrivals(rows: DataFrame, entity: str, day_column: str, value: str, order_by: str) -> tuple[DataFrame, DataFrame]:
@@ -55,11 +49,17 @@ def arrivals(rows: DataFrame, entity: str, day_column: str, value: str, order_by
     away. Both are entity, day, amount with one row per entity and day.
     """
     after = Window.partitionBy("entity").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
-    days = _days(rows, entity, day_column, value, order_by).withColumn("late", F.coalesce(F.col("came") > F.min("came").over(after), F.lit(False)))
-    in_time = days.where("not late and first is not null").select("entity", "day", F.col("first").alias("amount"))
-    known = F.when(~F.col("late"), F.col("first"))
-    late = days.where(~known.eqNullSafe(F.col("last"))).select("entity", "day", F.col("last").alias("amount"))
-    return in_time, late
+    each = _usable(rows, entity, day_column, value, order_by).groupBy("entity", "day").agg(
+        F.min_by("amount", "o").alias("first"), F.max_by("amount", "o").alias("last"), F.min("o").alias("came")
+    )
+    # First and last amount in one column, so that both lots have one plan up to the sort and share its shuffle.
+    days = each.select("entity", "day", F.array("first", "last").alias("pair"), "came").withColumn(
+        "late", F.coalesce(F.col("came") > F.min("came").over(after), F.lit(False))
+    )
+    first, last = F.col("pair")[0], F.col("pair")[1]
+    in_time = days.where(~F.col("late") & first.isNotNull()).select("entity", "day", first.alias("amount"))
+    known = F.when(~F.col("late"), first)
+    return in_time, days.where(~known.eqNullSafe(last)).select("entity", "day", last.alias("amount"))
 
 
 def _own(daily: DataFrame) -> DataFrame:

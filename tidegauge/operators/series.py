@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from datetime import date
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidegauge.functions import scalar
+
 
 def dedupe_last(rows: DataFrame, keys: Sequence[str], order_by: str, columns: Sequence[str]) -> DataFrame:
     """The row of the highest order_by per key; combines before the shuffle."""
@@ -99,9 +104,9 @@ def _rows(n: int):
 
 
 def trailing_z(value: Column, rows: int, least: int = 2) -> Column:
-    """z-score within the trailing rows, sample deviation; null with fewer than least rows or no spread."""
+    """z-score within the trailing rows, sample deviation; null with fewer than least rows or a deviation of 1e-12 or less."""
     w = _rows(rows)
-    return F.when((F.count(value).over(w) >= least) & (F.stddev_samp(value).over(w) > 0), (value - F.avg(value).over(w)) / F.stddev_samp(value).over(w))
+    return F.when((F.count(value).over(w) >= least) & (F.stddev_samp(value).over(w) > 1e-12), (value - F.avg(value).over(w)) / F.stddev_samp(value).over(w))
 
 
 def trailing_rank(value: Column, rows: int, least: int = 1) -> Column:
@@ -140,11 +145,13 @@ def forward_returns(series: DataFrame, months: int) -> DataFrame:
 
 
 def hac_regression(pairs: DataFrame, keys: Sequence[str], lags: int) -> DataFrame:
-    """Least squares of y on x per group with Newey-West errors: n, slope, intercept, r2, slope_se, resid_se.
+    """Least squares of y on x per group with Newey-West errors of so many lags.
 
     pairs has keys, position (the order), x and y; pairs with a null are left out
     before lags are counted by row. Bartlett weights, no small-sample correction.
-    Groups of fewer than three pairs or of constant x have no row.
+    Result: keys, n, slope, intercept, r2, adj_r2, slope_se, intercept_se, p_slope,
+    p_intercept (two-sided, normal; null without an error), resid_se (sample deviation
+    of the residuals). Groups of fewer than three pairs or of constant x have no row.
     """
     usable = pairs.where("x is not null and y is not null")
     fit = usable.groupBy(*keys).agg(
@@ -152,12 +159,124 @@ def hac_regression(pairs: DataFrame, keys: Sequence[str], lags: int) -> DataFram
         F.regr_r2("y", "x").alias("r2"), F.avg("x").alias("mx"), F.regr_sxx("y", "x").alias("sxx"),
     ).where("n >= 3 and sxx > 0")
     by = Window.partitionBy(*keys).orderBy("position")
-    scored = usable.join(fit, list(keys)).withColumn("u", F.expr("y - intercept - slope * x")).withColumn("z", F.expr("(x - mx) * u / sxx"))
-    total = F.sum(F.col("z") * F.col("z"))
-    for lag in range(1, lags + 1):
-        scored = scored.withColumn(f"z{lag}", F.lag("z", lag).over(by))
-        total = total + 2.0 * (1.0 - lag / (lags + 1.0)) * F.coalesce(F.sum(F.col("z") * F.col(f"z{lag}")), F.lit(0.0))
-    return scored.groupBy(*keys).agg(
-        F.first("n").alias("n"), F.first("slope").alias("slope"), F.first("intercept").alias("intercept"), F.first("r2").alias("r2"),
-        F.sqrt(F.greatest(total, F.lit(0.0))).alias("slope_se"), F.stddev_samp("u").alias("resid_se"),
+    scored = usable.join(fit, list(keys)).withColumn("u", F.expr("y - intercept - slope * x")).withColumns(
+        {"z": F.expr("(x - mx) * u / sxx"), "c": F.expr("u / n - mx * (x - mx) * u / sxx")}
+    )
+    scored = scored.withColumns({f"{v}{lag}": F.lag(v, lag).over(by) for v in "zc" for lag in range(1, lags + 1)})
+
+    def error(v: str) -> Column:
+        total = F.sum(F.col(v) * F.col(v))
+        for lag in range(1, lags + 1):
+            total = total + 2.0 * (1.0 - lag / (lags + 1.0)) * F.coalesce(F.sum(F.col(v) * F.col(f"{v}{lag}")), F.lit(0.0))
+        return F.sqrt(F.greatest(total, F.lit(0.0)))
+
+    fitted = scored.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in ("n", "slope", "intercept", "r2")],
+        error("z").alias("slope_se"), error("c").alias("intercept_se"), F.stddev_samp("u").alias("resid_se"),
+    )
+    return fitted.select(
+        *keys, "n", "slope", "intercept", "r2", _adjusted(), "slope_se", "intercept_se",
+        _p_value("slope").alias("p_slope"), _p_value("intercept").alias("p_intercept"), "resid_se",
+    )
+
+
+def _adjusted() -> Column:
+    return (1 - (1 - F.col("r2")) * (F.col("n") - 1) / (F.col("n") - 2)).alias("adj_r2")
+
+
+def _p_value(of: str) -> Column:
+    return F.when(F.col(f"{of}_se") > 0, scalar.normal_tail(F.col(of) / F.col(f"{of}_se")))
+
+
+def hac_by_lags(pairs: DataFrame, keys: Sequence[str], lags: str, longest: int = 2_000) -> DataFrame:
+    """hac_regression where the column lags holds each group's number of lags, which may be in the hundreds.
+
+    Each group's residuals are one array, so pairs must be at a bounded step (months):
+    a group of more than longest pairs raises. The lag sums run over those arrays.
+    """
+    usable = pairs.where("x is not null and y is not null")
+    fit = usable.groupBy(*keys, lags).agg(
+        F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"),
+        F.regr_r2("y", "x").alias("r2"), F.avg("x").alias("mx"), F.regr_sxx("y", "x").alias("sxx"),
+        F.array_sort(F.collect_list(F.struct("position", "x", "y"))).alias("rows"),
+    ).where("n >= 3 and sxx > 0")
+    bounded = F.when(F.col("n") <= longest, F.col("rows")).otherwise(F.raise_error(F.lit(f"more than {longest} pairs in a group")).cast(dict(fit.dtypes)["rows"]))
+    scored = fit.withColumn("rows", bounded).withColumn(
+        "u", F.transform("rows", lambda r: r["y"] - F.col("intercept") - F.col("slope") * r["x"])
+    ).withColumn("d", F.transform("rows", lambda r: (r["x"] - F.col("mx")) / F.col("sxx")))
+    shape = ", ".join(f"{k} {dict(scored.dtypes)[k]}" for k in keys)
+
+    def errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = []
+            for u, d, mx, asked in zip(pdf["u"], pdf["d"], pdf["mx"], pdf[lags].astype(int)):
+                u, d, most = np.asarray(u, float), np.asarray(d, float), min(asked, len(u) - 1)
+                weights = 1.0 - np.arange(1, most + 1) / (asked + 1.0)
+                pair = []
+                for v in (d * u, u / len(u) - mx * d * u):
+                    full = np.correlate(v, v, "full")[len(v) - 1 :]
+                    pair.append(float(np.sqrt(max(0.0, full[0] + 2.0 * (weights * full[1 : most + 1]).sum()))))
+                found.append((*pair, float(np.std(u, ddof=1))))
+            out = pdf[[*keys, lags, "n", "slope", "intercept", "r2"]].copy()
+            for i, name in enumerate(("slope_se", "intercept_se", "resid_se")):
+                out[name] = [f[i] for f in found]
+            yield out
+
+    fitted = scored.select(*keys, lags, "n", "slope", "intercept", "r2", "mx", "u", "d").mapInPandas(
+        errors, f"{shape}, {lags} int, n long, slope double, intercept double, r2 double, slope_se double, intercept_se double, resid_se double"
+    )
+    return fitted.select(
+        *keys, lags, "n", "slope", "intercept", "r2", _adjusted(), "slope_se", "intercept_se",
+        _p_value("slope").alias("p_slope"), _p_value("intercept").alias("p_intercept"), "resid_se",
+    )
+
+
+def month_grid(series: DataFrame) -> DataFrame:
+    """id, month_end, value on every month end from the first reading's to the last's; a month without reading holds the one before."""
+    m = month_end_last(series)
+    b = m.groupBy("id").agg(F.min("month_end").alias("lo"), F.max("month_end").alias("hi"))
+    grid = b.select("id", F.explode(F.expr("sequence(trunc(lo, 'month'), hi, interval 1 month)")).alias("m")).select("id", F.last_day("m").alias("month_end"))
+    held = m.select("id", F.col("month_end").alias("held"), "value")
+    return asof_join(grid, held, ["id"], "month_end", "held", ["value"]).select("id", "month_end", "value")
+
+
+class SeriesRefused(Exception):
+    """A series that preparation can't take: empty, all null, or beyond its unit's range."""
+
+
+def prepared(series: DataFrame, order_by: str, limits: DataFrame | None = None, until: date | None = None, strict: bool = False) -> DataFrame:
+    """The whole preparation of series(id, day, value, order_by) in one call: id, day, value, is_outlier.
+
+    Of repeated days the last counts; outliers are flagged on what was read; null runs
+    of at most five rows are filled; the result stands on Monday to Friday from the
+    first reading to the last, or on to until, each day with the reading in force.
+    Where series has a column processed, rows with true in it pass as they are, not
+    flagged. limits(id, low, high) are the ranges of the series' units. With strict,
+    a series of nulls only or one beyond its range raises SeriesRefused, and all its
+    findings are named; else a series of nulls only has no rows, and the range is left
+    to the reader.
+    """
+    done = None
+    if "processed" in series.columns:
+        done = series.where("processed").select("id", "day", "value", F.lit(False).alias("is_outlier"))
+        series = series.where("not coalesce(processed, false)")
+    clean = dedupe_last(series.where("id is not null and day is not null"), ["id", "day"], order_by, ["value"])
+    if strict:
+        found = clean.groupBy("id").agg(F.count("value").alias("n"), F.min("value").alias("least"), F.max("value").alias("greatest"))
+        bad = F.col("n") == 0
+        if limits is not None:
+            found = found.join(limits, "id", "left")
+            bad = bad | F.coalesce((F.col("least") < F.col("low")) | (F.col("greatest") > F.col("high")), F.lit(False))
+        refused = found.where(bad).select("id", F.when(F.col("n") == 0, "only nulls").otherwise("out of range").alias("why")).limit(20).collect()
+        if refused:
+            raise SeriesRefused("; ".join(f"{r['id']}: {r['why']}" for r in refused))
+    flags = quartile_flags(clean).select("id", F.col("day").alias("read"), "is_outlier")
+    filled = fill_gaps(clean).select("id", F.col("day").alias("read"), "value")
+    both = filled.join(flags, ["id", "read"])
+    bounds = clean.groupBy("id").agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.count("value").alias("c")).where("c > 0")
+    end = F.col("hi") if until is None else F.greatest("hi", F.lit(until))
+    grid = business_days(bounds.withColumn("end", end), "lo", "end").select("id", "day")
+    out = asof_join(grid, both, ["id"], "day", "read", ["value", "is_outlier"]).select(
+        "id", "day", "value", (F.col("is_outlier") & (F.col("since") == F.col("day"))).alias("is_outlier")
     )
+    return out if done is None else out.unionByName(done)

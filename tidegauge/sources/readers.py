@@ -44,7 +44,7 @@ def series_json(spark: SparkSession, path: str) -> DataFrame:
 def positions_json(spark: SparkSession, path: str, day_field: str, sides: Sequence[tuple[str, str, str]]) -> DataFrame:
     """Weekly positions: obs_date and for each (name, long field, short field) long, short and net.
 
-    Figures are text; unreadable ones are null. Of a repeated week the record with the greatest figures counts.
+    Figures are text; unreadable ones are null. Of a repeated week the last record counts, in order of file name and place.
     """
     fields = [day_field, *[f for _, a, b in sides for f in (a, b)]]
     schema = T.StructType([T.StructField(f, T.StringType()) for f in dict.fromkeys(fields)])
@@ -52,10 +52,10 @@ def positions_json(spark: SparkSession, path: str, day_field: str, sides: Sequen
     number = lambda f: F.expr(f"try_cast(`{f}` as double)")
     out = rows.select(
         F.to_date(F.expr(f"try_cast(`{day_field}` as timestamp)")).alias("obs_date"),
+        F.struct("_metadata.file_name", F.monotonically_increasing_id()).alias("line"),
         *[c for n, a, b in sides for c in (number(a).alias(f"{n}_long"), number(b).alias(f"{n}_short"), (number(a) - number(b)).alias(f"{n}_net"))],
     ).where("obs_date is not null")
-    names = [c for c in out.columns if c != "obs_date"]
-    return out.groupBy("obs_date").agg(F.max(F.struct(*names)).alias("b")).select("obs_date", "b.*")
+    return dedupe_last(out, ["obs_date"], "line", [c for c in out.columns if c not in ("obs_date", "line")])
 
 
 def wide_quarters(frame: DataFrame, ids: Sequence[str]) -> DataFrame:
