@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tidegauge.llm import leaks
 
@@ -51,8 +52,8 @@ def test_dressed_copies_and_echoes(spark):
     ]
     d, i = frames(spark, docs, items)
     want = [(1, 1), (1, 1), (1, 2), (1, 3), (1, 8), (2, 9), (3, 9), (4, 11), (5, 0)]
-    for block in (leaks.BLOCK_ITEMS, 2):
-        got = leaks.find_leaks(d, i, block_items=block)
+    for windows in (leaks.BROADCAST_WINDOWS, 0):
+        got = leaks.find_leaks(d, i, broadcast_windows=windows)
         assert sorted((r.item_id, r.doc_id or 0) for r in got.collect()) == want
     assert leaks.find_leaks(d.limit(0), i).count() == 0 and leaks.find_leaks(d, i.limit(0)).count() == 0
 
@@ -63,5 +64,47 @@ def test_recurring_sentences_are_left_out(spark):
     assert all(words == " ".join(leaks.words(item(n))) for n, words in got.items()) and len(got) == 5
 
 
+def shared_by(n, ask):
+    """n items over one passage of 40 words, in between 30 others that have their own; all with the instruction."""
+    passage = " ".join(f"s{k}" for k in range(20)).capitalize() + ". " + " ".join(f"t{k}" for k in range(20)).capitalize() + "."
+    told = "Read the passage below and answer the question that follows in one short sentence."
+    items = [(k, "s", f"{told} {passage} {ask(k)}", "") for k in range(n)] + [(1000 + k, "s", f"{told} {item(k)} {ASK}", "") for k in range(30)]
+    return passage, told, items
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 500])
+def test_items_that_share_a_passage_all_leak(spark, n):
+    for ask in (lambda k: f"Why would q{k} have r{k * 7} under u{k * 3}?", lambda k: f"What did N{k} say?", lambda k: ASK, lambda k: f"Tell of q{k} and r{k * 7}."):
+        passage, told, items = shared_by(n, ask)
+        d, i = frames(spark, [(1, f"x {passage} y", ""), (2, f"{told} {ASK} {ask(0)} {ask(1)}", "")], items)
+        got = leaks.find_leaks(d, i)
+        assert sorted((r.item_id, r.doc_id) for r in got.collect()) == [(k, 1) for k in range(n)]
+
+
+def test_without_neighbours_a_shared_passage_is_kept(spark):
+    passage, _, items = shared_by(5, lambda k: f"Why would q{k} have r{k * 7}?")
+    d, i = frames(spark, [(1, passage, "")], items[:5])
+    assert leaks.find_leaks(d, i).count() == 5
+
+
+def test_fifty_thousand_items_by_join(spark):
+    r = random.Random(3)
+    text = {n: " ".join(f"w{r.randrange(100_000)}" for _ in range(16)) for n in range(50_000)}
+    i = spark.createDataFrame([(n, t) for n, t in text.items()], "item_id long, text string")
+    docs = [(n, f"before {text[n * 37]} between {text[n * 41 + 5]} after") for n in range(600)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    want = sorted({(x, n) for n in range(600) for x in (n * 37, n * 41 + 5)})
+    assert sorted((g.item_id, g.doc_id) for g in leaks.find_leaks(d, i).collect()) == want
+
+
+def test_deep_markup_and_long_sentences():
+    assert leaks.words("a " + "{{x|" * 3000 + "}}" * 3000 + " b }} {{ c", strip=True) == ["a", "b", "c"]
+    ids = leaks.word_ids([f"w{k % 50}" for k in range(20_000)], {})
+    keys = leaks.open_keys(ids)
+    other = ids.copy()
+    other[77] += 5
+    assert len(set(keys)) == len(keys) and (leaks.open_keys(other) == keys).sum() == 1
+
+
 def test_words():
     assert leaks.words("Whéther &amp; «[[Xa (Y)|the]]» or-\nchard hel­lo ‘сat’") == ["whether", "the", "orchard", "hello", "cat"]

@@ -33,7 +33,9 @@ def test_sections_are_plain_sentences():
 
 def test_gradient_against_differences():
     rng = np.random.default_rng(2)
-    p = subjects.Prepared.of([["goal", "match"], ["oven"], ["oven", "goal", "oven"]], 64, {"goal": 0.7}, 0.1)
+    weight = np.full(512, 0.1, np.float32)
+    weight[subjects.place("goal", 512)] = 0.7
+    p = subjects.Prepared.of([["goal", "match"], ["oven"], ["oven", "goal", "oven"]], 64, weight)
     y, mask = rng.integers(0, 2, (3, 2)).astype(np.float64), np.array([1.0, 0.5, 1.0])
     e, w = rng.normal(size=(64, 3)), rng.normal(size=(4, 2))
     g, h, _ = subjects.gradient(p, y, mask, e, w)
@@ -65,6 +67,20 @@ def test_held_out_accuracy_and_odd_rows(spark, corpus):
     assert not {900, 901, 902, 903} & set(got) and got[904] == {"food"} and got[905] == {"music"} and got[None] == {"sport"}
 
 
+def test_words_and_markup_are_whole():
+    tail = "a" * 60
+    assert subjects.features(tail + "xyz", 1 << 14) != subjects.features(tail + "uvw", 1 << 14)
+    assert len(subjects.features("".join(random.Random(1).choices("abcdefghij", k=5000)), 1 << 14)) > 100
+    assert subjects.sections("{{" * 40 + "goal" + "}}" * 40 + " One.") == [[["one"]]]
+
+
+def test_a_section_may_have_several_subjects():
+    t = subjects.Training(buckets=64, dim=1, level=0.5, share=0.25)
+    output = np.array([[0.0, 0.0, 0.0], [5.0, 5.0, -5.0]], np.float32)
+    model = subjects.Model(["a", "b", "c"], np.zeros((64, 1), np.float32), output, np.ones(8, np.float32), t)
+    assert model.of_sections([[[["one", "two"]]], []]) == [{"a", "b"}, set()]
+
+
 def test_no_labels_no_subjects(spark):
     d = spark.createDataFrame([(1, "goal")], "doc_id long, text string")
     areas = spark.createDataFrame([("sport",)], "subject string")

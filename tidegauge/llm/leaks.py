@@ -10,10 +10,12 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.session import spread
+from tidegauge.llm.markup import without_templates
+from tidegauge.session import spread, stored
 
 #: Words of a window: about a dozen in a row make a leak.
 WINDOW = 12
@@ -21,10 +23,14 @@ WINDOW = 12
 BUDGET = 2
 #: Words of a piece; BUDGET + 1 pieces make a window, so one of them is untouched.
 PIECE = WINDOW // (BUDGET + 1)
-#: A sentence is an instruction or question if so many items have it, but for one word at most.
+#: Places of windows this near meet the same words.
+BLUR = 2
+#: A sentence that so many items have, but for one word, may be an instruction or question; see passages.
 RECURS = 3
-#: Items held in memory at a time; more are taken in blocks.
-BLOCK_ITEMS = 20_000
+#: Windows of up to so many words' places are broadcast; more are joined with the documents' pieces by shuffle.
+BROADCAST_WINDOWS = 200_000
+#: Bits of the filter over piece keys that documents are held against before that shuffle.
+FILTER_BITS = 1 << 26
 
 # Letters of other scripts that look like Latin ones.
 LOOKALIKES = str.maketrans("аеорсухіјѕһԁԛԝвкмнтгαεορυικντ", "aeopcyxijshdqwbkmhtraeopuiknt")
@@ -36,7 +42,7 @@ _INVISIBLE = regex.compile(r"\p{Cf}+")
 _BROKEN = regex.compile(r"(?<=\p{L})[-‐]\r?\n(?=\p{Ll})")
 _LINK = regex.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]")
 _WORD = regex.compile(r"[\p{L}\p{N}]+(?:['’][\p{L}]+)?")
-_MARKUP = regex.compile(r"<!--.*?-->|<ref[^>/]*/>|<ref[^>]*>.*?</ref>|\{\{[^{}]*\}\}|</?[a-z][^<>]*>", regex.S | regex.I)
+_MARKUP = regex.compile(r"<!--.*?-->|<ref[^>/]*/>|<ref[^>]*>.*?</ref>|</?[a-z][^<>]*>", regex.S | regex.I)
 _CELL = regex.compile(r"^(?:\{\||\|\}|\|-|!).*$|^\|[^|\n]*\d+\s*$|^[*#:;|]+", regex.M)
 _SENTENCE = regex.compile(r"(?<=[.?!])\s+")
 
@@ -49,11 +55,7 @@ def words(text: str, strip: bool = False) -> list[str]:
     if "&" in text:
         text = html.unescape(text)
     if strip:
-        for _ in range(3):
-            text, n = _MARKUP.subn(" ", text)
-            if not n:
-                break
-        text = _CELL.sub(" ", text)
+        text = _CELL.sub(" ", without_templates(_MARKUP.sub(" ", text)))
     if not text.isascii():
         text = _INVISIBLE.sub("", text)
     if "[[" in text:
@@ -67,46 +69,93 @@ def words(text: str, strip: bool = False) -> list[str]:
     return _WORD.findall(text)
 
 
-def sentences(text: str) -> list[list[str]]:
-    return [w for s in _SENTENCE.split(text) if (w := words(s))]
+def sentences(text: str) -> list[tuple[list[str], bool]]:
+    """Words of each sentence, and whether it is a question."""
+    return [(w, s.rstrip("\"'”’)» ").endswith("?")) for s in _SENTENCE.split(text) if (w := words(s))]
 
 
-def passages(items: DataFrame, recurs: int = RECURS) -> DataFrame:
-    """items(item_id, text) as item_id and words of the passage, without sentences that recur over items.
+def word_ids(found: list[str], known: dict[str, int]) -> np.ndarray:
+    """A 64-bit id for each word, the same on every machine; known remembers them."""
+    if len(known) > 1_000_000:
+        known.clear()
+    for w in found:
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w) >> 1
+    return np.fromiter((known[w] for w in found), np.int64, len(found))
+
+
+def open_keys(ids: np.ndarray) -> np.ndarray:
+    """For each place of a sentence a key of the sentence with that place left open, in one pass."""
+    n = len(ids)
+    place = np.cumprod(np.full(n, 0x9E3779B97F4A7C15, np.uint64))
+    part = ids.astype(np.uint64) * place
+    rest = part.sum(dtype=np.uint64) - part
+    key = (rest ^ (rest >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + place + np.uint64(n)
+    return (key ^ (key >> np.uint64(29))).astype(np.int64)
 
-    A sentence recurs if at least recurs items have it, one and the same word left open.
+
+def passages(items: DataFrame, recurs: int = RECURS) -> DataFrame:
+    """items(item_id, text) as item_id and words of the passage, without the instructions and questions around it.
+
+    A sentence recurs if at least recurs items have it, one and the same word left
+    open. Recurring alone makes no instruction, as several items may share one
+    passage; the role in the item decides. An item has a passage of its own if its
+    sentences that don't recur, questions apart, are WINDOW words or more and no
+    fewer than its recurring ones. There all that recurs is left out. Any other item
+    keeps, beside what doesn't recur, those of its recurring sentences that aren't
+    questions and stand beside few passages: an instruction stands beside many, the
+    sentences of a shared passage beside their own. A sentence may stand beside
+    twice as many as the one of its item that stands beside the fewest.
     """
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
         for pdf in batches:
             rows = []
             for item, text in zip(pdf["item_id"], pdf["text"]):
-                for n, s in enumerate(sentences(text)):
-                    rows.append((item, n, " ".join(s), [" ".join([*s[:k], "\0", *s[k + 1 :]]) for k in range(len(s))]))
-            yield pd.DataFrame(rows, columns=["item_id", "n", "sentence", "open"]) if rows else pd.DataFrame(
-                {"item_id": pd.Series(dtype="int64"), "n": [], "sentence": [], "open": []}
-            )
+                for n, (s, asks) in enumerate(sentences(text)):
+                    rows.append((item, n, " ".join(s), len(s), asks, open_keys(word_ids(s, known))))
+            if rows:
+                yield pd.DataFrame(rows, columns=["item_id", "n", "sentence", "size", "asks", "open"])
 
     slim = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
-    parts = slim.mapInPandas(cut, "item_id long, n int, sentence string, open array<string>")
-    usual = (
-        parts.select("item_id", F.explode("open").alias("key")).groupBy("key")
-        .agg(F.count_distinct("item_id").alias("items")).where(F.col("items") >= recurs).select("key")
-    )
-    recurring = (
-        parts.select("item_id", "n", F.explode("open").alias("key")).join(usual, "key", "left_semi").select("item_id", "n").distinct()
-    )
-    kept = parts.select("item_id", "n", "sentence").join(recurring, ["item_id", "n"], "left_anti")
+    parts = stored(slim.mapInPandas(cut, "item_id long, n int, sentence string, size int, asks boolean, open array<long>"))
+    opened = parts.select("item_id", "n", F.explode("open").alias("key"))
+    usual = opened.groupBy("key").agg(F.count_distinct("item_id").alias("items")).where(F.col("items") >= recurs)
+    common = opened.join(usual, "key").groupBy("item_id", "n").agg(F.max(F.struct("items", "key")).alias("c"))
+    marked = parts.drop("open").join(common, ["item_id", "n"], "left").select("item_id", "n", "sentence", "size", "asks", "c.items", "c.key")
+    once, again = F.col("items").isNull() & ~F.col("asks"), F.col("items").isNotNull() & ~F.col("asks")
+    count = lambda rule: F.coalesce(F.sum(F.when(rule, F.col("size"))), F.lit(0))
+    has_own = marked.groupBy("item_id").agg(((count(once) >= WINDOW) & (count(once) >= count(again))).alias("has_own"))
+    rated = marked.join(has_own, "item_id")
+    # An item's passage is named by the item, or by the rarest sentence that it shares.
+    rarest = F.min(F.when(again, F.struct("items", "key"))).over(Window.partitionBy("item_id"))["key"]
+    named = rated.withColumn("passage", F.when(F.col("has_own"), F.concat(F.lit("item "), F.col("item_id"))).otherwise(rarest.cast("string")))
+    company = named.where("items is not null").groupBy("key").agg(F.count_distinct("passage").alias("beside"))
+    roles = named.join(company, "key", "left")
+    shared = again & ~F.col("has_own")
+    fewest = F.min(F.when(shared, F.col("beside"))).over(Window.partitionBy("item_id"))
+    kept = roles.withColumn("fewest", fewest).where(F.col("items").isNull() | shared & (F.col("beside") <= 2 * F.col("fewest")))
     return kept.groupBy("item_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "sentence"))), lambda s: s["sentence"]), " ").alias("words")
     )
 
 
+def windows_of(ids: list[int]) -> Iterator[tuple[list[int], int]]:
+    """Windows of a passage and the words of each that may differ; a passage of under PIECE words has none."""
+    size = min(WINDOW, len(ids))
+    if size >= PIECE:
+        budget = min(BUDGET, size // PIECE - 1)
+        for start in range(len(ids) - size + 1):
+            yield ids[start : start + size], budget
+
+
 @dataclass
 class Pieces:
     """Windows of a block of items and the keys of their pieces."""
 
     vocabulary: dict[str, int]
-    items: np.ndarray  # of each window
+    items: np.ndarray  # that have a window, flat over the windows
+    first: np.ndarray  # of each window's items; one more at the end
     window: np.ndarray  # windows x WINDOW word ids, padded with -1
     length: np.ndarray
     budget: np.ndarray
@@ -117,29 +166,23 @@ class Pieces:
     @classmethod
     def of(cls, block: list[tuple[int, list[str]]]) -> Pieces:
         vocabulary: dict[str, int] = {}
-        items, windows, lengths, budgets, keys, owners, offsets = [], [], [], [], [], [], []
+        held: dict[tuple[int, ...], list[int]] = {}
         for item, passage in block:
             ids = [vocabulary.setdefault(w, len(vocabulary) + 1) for w in passage]
-            size = min(WINDOW, len(ids))
-            if size < PIECE:
-                continue
-            budget = min(BUDGET, size // PIECE - 1)
-            for start in range(len(ids) - size + 1):
-                own = ids[start : start + size]
-                items.append(item)
-                windows.append(own + [-1] * (WINDOW - size))
-                lengths.append(size)
-                budgets.append(budget)
-                for k in range(budget + 1):
-                    keys.append(own[k * PIECE : (k + 1) * PIECE])
-                    owners.append(len(windows) - 1)
-                    offsets.append(k * PIECE)
-        key = mix(np.array(keys, np.int64).reshape(-1, PIECE))
+            for own, budget in windows_of(ids):
+                held.setdefault((budget, *own), []).append(item)
+        budgets = np.array([w[0] for w in held], np.int64)
+        lengths = np.array([len(w) - 1 for w in held], np.int64)
+        window = np.full((len(held), WINDOW), -1, np.int64)
+        for row, w in zip(window, held):
+            row[: len(w) - 1] = w[1:]
+        owner = np.repeat(np.arange(len(held)), budgets + 1)
+        offset = (np.arange(len(owner)) - np.repeat(np.cumsum(budgets + 1) - budgets - 1, budgets + 1)) * PIECE
+        key = mix(window[owner[:, None], offset[:, None] + np.arange(PIECE)]) if len(owner) else np.zeros(0, np.int64)
         order = np.argsort(key, kind="stable")
-        return cls(
-            vocabulary, np.array(items, np.int64), np.array(windows, np.int64).reshape(-1, WINDOW), np.array(lengths, np.int64),
-            np.array(budgets, np.int64), key[order], np.array(owners, np.int64)[order], np.array(offsets, np.int64)[order],
-        )
+        first = np.cumsum([0, *map(len, held.values())])
+        items = np.array([i for own in held.values() for i in own], np.int64)
+        return cls(vocabulary, items, first, window, lengths, budgets, key[order], owner[order], offset[order])
 
 
 def mix(grams: np.ndarray) -> np.ndarray:
@@ -198,59 +241,147 @@ def leaked(pieces: Pieces, found: list[str]) -> set[int]:
     near = far <= pieces.budget[window]
     if not near.any():
         return set()
-    item, start, far = pieces.items[window[near]], start[near], far[near]
-    if len(set(item.tolist())) == 1:
-        return {int(item[0])}
-    # Passages share phrases: where several items meet the same words, the nearest has them.
-    least = np.full(len(found) + 2 * WINDOW + BUDGET, WINDOW + 1)
-    for s, d in zip(start.tolist(), far.tolist()):
-        span = slice(max(0, s + WINDOW // 2 - 2), s + WINDOW // 2 + 3)
-        least[span] = np.minimum(least[span], d)
-    return {int(i) for i, s, d in zip(item, start, far) if d <= least[max(0, s + WINDOW // 2)]}
-
-
-def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", block_items: int = BLOCK_ITEMS) -> DataFrame:
+    window, start, far = window[near], start[near], far[near]
+    # Passages share phrases: where several windows meet the same words, the nearest have them.
+    low, high = np.searchsorted(at := np.sort(start), start - BLUR), np.searchsorted(at, start + BLUR, side="right")
+    sorted_far = far[np.argsort(start, kind="stable")]
+    best = [int(w) for w, d, a, b in zip(window, far, low, high) if d <= sorted_far[a:b].min()]
+    return {int(i) for w in set(best) for i in pieces.items[pieces.first[w] : pieces.first[w + 1]]}
+
+
+def both_forms(body: str) -> list[list[str]]:
+    """Words of a text as it stands, and again without its markup if it has some."""
+    return [words(body), words(body, strip=True)] if "{" in body or "<" in body or "|" in body else [words(body)]
+
+
+def find_leaks(
+    documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_windows: int = BROADCAST_WINDOWS
+) -> DataFrame:
     """item_id and doc_id of every item whose passage a document repeats, in whole or WINDOW words of it.
 
-    items(item_id, text) is the stated query set; its passages (see passages) are
-    held in memory in blocks of block_items, each broadcast to a scan of all
-    documents. Up to BUDGET of the WINDOW words may differ; a passage of fewer
-    words must be met in whole, with one change for every PIECE words after the
-    first PIECE, and one of fewer than PIECE words is never met. Each document is
-    searched as it stands and again without its markup. Null texts and null items
-    give no row; a null doc_id is reported as null; repeated rows give repeated
-    rows. Texts are searched whole, whatever their length.
+    items(item_id, text) is the stated query set. Up to BUDGET of the WINDOW words
+    may differ; a passage of fewer words must be met in whole, with one change for
+    every PIECE words after the first PIECE, and one of fewer than PIECE words is
+    never met. Each document is searched as it stands and again without its markup.
+    Where windows meet the same words, BLUR words apart at most, only the nearest
+    count, and all items that have them. Null texts and null items give no row; a
+    null doc_id is reported as null; repeated rows give repeated rows. Texts are
+    searched whole, whatever their length, in one scan of the documents: the windows
+    of all passages are broadcast if they are broadcast_windows at most, else joined.
     """
-    spark = documents.sparkSession
     slim = spread(documents.select(documents[doc_id].alias("doc_id"), documents[text].alias("text")).where("text is not null"))
+    held = stored(passages(items))
+    size = F.size(F.split("words", " "))
+    places = held.agg(F.sum(F.greatest(size - (WINDOW - 1), F.lit(1)))).first()[0] or 0
+    return _by_broadcast(slim, held) if places <= broadcast_windows else _by_join(slim, held)
+
+
+def _by_broadcast(slim: DataFrame, held: DataFrame) -> DataFrame:
+    block = [(r["item_id"], r["words"].split()) for r in held.collect()]
+    shared = slim.sparkSession.sparkContext.broadcast(Pieces.of(block))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pieces = shared.value
+        for pdf in batches:
+            docs, hits = [], []
+            for doc, body in zip(pdf["doc_id"], pdf["text"]):
+                found = set().union(*(leaked(pieces, form) for form in both_forms(body)))
+                hits += found
+                docs += [doc] * len(found)
+            yield pd.DataFrame({"item_id": pd.Series(hits, dtype="int64"), "doc_id": pd.Series(docs, dtype=pdf["doc_id"].dtype)})
+
+    return slim.mapInPandas(search, f"item_id long, doc_id {dict(slim.dtypes)['doc_id']}")
+
+
+#: Words of a document around a piece: every place of a window that has the piece, with its possible shifts.
+_BEFORE, _AFTER = WINDOW - PIECE + BUDGET, WINDOW + BUDGET
+
+
+def _by_join(slim: DataFrame, held: DataFrame) -> DataFrame:
+    """The same search with the pieces as a table; see find_leaks.
+
+    Documents send only the pieces that pass a filter of FILTER_BITS bits over all
+    piece keys, each with the words around it. Common pieces are left to the skew
+    join of adaptive execution; candidates are verified where they meet.
+    """
+    spark = slim.sparkSession
     kind = dict(slim.dtypes)["doc_id"]
-    result = None
-    block: list[tuple[int, list[str]]] = []
-
-    def scan(block: list[tuple[int, list[str]]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Pieces.of(block))
-
-        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            pieces = shared.value
-            for pdf in batches:
-                docs, hits = [], []
-                for doc, body in zip(pdf["doc_id"], pdf["text"]):
-                    found = leaked(pieces, words(body))
-                    if "{" in body or "<" in body or "|" in body:
-                        found |= leaked(pieces, words(body, strip=True))
-                    hits += found
-                    docs += [doc] * len(found)
-                yield pd.DataFrame({"item_id": pd.Series(hits, dtype="int64"), "doc_id": pd.Series(docs, dtype=pdf["doc_id"].dtype)})
-
-        return slim.mapInPandas(search, f"item_id long, doc_id {kind}")
-
-    for row in passages(items).toLocalIterator():
-        block.append((row["item_id"], row["words"].split()))
-        if len(block) == block_items:
-            part = scan(block)
-            result = part if result is None else result.unionAll(part)
-            block = []
-    if block or result is None:
-        part = scan(block)
-        result = part if result is None else result.unionAll(part)
-    return result
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        for pdf in batches:
+            rows = []
+            for item, text in zip(pdf["item_id"], pdf["words"]):
+                for own, budget in windows_of(word_ids(text.split(), known).tolist()):
+                    rows.append((item, np.array(own, np.int64).tobytes(), budget))
+            if rows:
+                yield pd.DataFrame(rows, columns=["item_id", "content", "budget"])
+
+    owners = stored(held.repartition("item_id").mapInPandas(windows, "item_id long, content binary, budget int"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            n = pdf["budget"].to_numpy() + 1
+            row = np.repeat(np.arange(len(pdf)), n)
+            offset = (np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)) * PIECE
+            width = PIECE * 8
+            gram = b"".join(c[o * 8 : o * 8 + width] for c, o in zip(pdf["content"].to_numpy()[row], offset.tolist()))
+            yield pd.DataFrame({
+                "key": mix(np.frombuffer(gram, np.int64).reshape(-1, PIECE)), "content": pdf["content"].to_numpy()[row],
+                "budget": pdf["budget"].to_numpy()[row], "offset": offset.astype(np.int32),
+            })
+
+    pieces = stored(owners.select("content", "budget").distinct().mapInPandas(cut, "key long, content binary, budget int, offset int"))
+    bit = F.pmod("key", F.lit(FILTER_BITS)) + 1
+    # Rows of 4 kB, FILTER_BITS / 32768 of them at most, however many pieces there are.
+    maps = pieces.groupBy(F.bitmap_bucket_number(bit).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("m")).collect()
+    bits = np.zeros((FILTER_BITS // 32768, 4096), np.uint8)
+    for r in maps:
+        bits[r["b"] - 1] = np.frombuffer(bytes(r["m"]), np.uint8)
+    shared = spark.sparkContext.broadcast(bits.ravel())
+
+    def survivors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, int] = {}
+        flat = shared.value
+        for pdf in batches:
+            for row, doc, body in zip(pdf["row"], pdf["doc_id"], pdf["text"]):
+                for form, found in enumerate(both_forms(body)):
+                    if len(found) < PIECE:
+                        continue
+                    ids = word_ids(found, known)
+                    key = mix(np.lib.stride_tricks.sliding_window_view(ids, PIECE))
+                    at = np.mod(key, FILTER_BITS)
+                    at = np.flatnonzero(flat[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                    if not len(at):
+                        continue
+                    padded = np.concatenate([np.zeros(_BEFORE, np.int64), ids, np.zeros(_AFTER, np.int64)])
+                    around = padded[at[:, None] + np.arange(_BEFORE + _AFTER)]
+                    yield pd.DataFrame({
+                        "row": row, "doc_id": pd.Series([doc] * len(at), dtype=pdf["doc_id"].dtype), "form": form, "at": at.astype(np.int32), "key": key[at],
+                        "around": [a.tobytes() for a in around],
+                    })
+
+    shape = f"row long, doc_id {kind}, form int, at int, key long, around binary"
+    sent = slim.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "text").mapInPandas(survivors, shape)
+    met = sent.join(pieces, "key")
+
+    def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            length = pdf["content"].map(len).to_numpy() // 8
+            window = np.full((len(pdf), WINDOW), -1, np.int64)
+            window[np.arange(WINDOW) < length[:, None]] = np.frombuffer(b"".join(pdf["content"]), np.int64)
+            around = np.frombuffer(b"".join(pdf["around"]), np.int64).reshape(len(pdf), -1)
+            first = _BEFORE - BUDGET - pdf["offset"].to_numpy()
+            text = around[np.arange(len(pdf))[:, None], first[:, None] + np.arange(WINDOW + 2 * BUDGET)]
+            far = distances(window, length, text)
+            near = far <= pdf["budget"].to_numpy()
+            out = pdf.loc[near, ["row", "doc_id", "form", "content", "budget"]]
+            out["start"], out["far"] = (pdf["at"] - pdf["offset"])[near], far[near]
+            yield out
+
+    hits = met.mapInPandas(verified, f"row long, doc_id {kind}, form int, content binary, budget int, start int, far int")
+    around = Window.partitionBy("row", "form").orderBy("start").rangeBetween(-BLUR, BLUR)
+    best = hits.withColumn("least", F.min("far").over(around)).where("far <= least").select("row", "doc_id", "content", "budget").distinct()
+    return best.join(owners, ["content", "budget"]).select("row", "item_id", "doc_id").distinct().select("item_id", "doc_id")

@@ -17,6 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.llm.markup import without_templates
 from tidegauge.session import durable, spread
 
 
@@ -26,18 +27,21 @@ class Training:
 
     max_labelled: labelled documents that the classifier is fitted on; of more,
     those of the lowest hash of their id. partitions: parts of the training data,
-    each of which sends one gradient a round. rounds: whole-document rounds, then
-    as many on sections and their sentences. level: least summed output of a
-    section's sentences for a subject. share: least mean output of them. evidence:
-    least summed weight of a section's words. doubt: pseudo-count of the prior in
-    the weight of a word.
+    each of which sends one gradient a round. part_words: words of a stored piece of
+    a part. places: places of the hashed table of word weights. rounds: whole-document
+    rounds, then as many on sections and their sentences. level: least summed output
+    of a section's sentences for a subject. share: least mean output of them.
+    evidence: least summed weight of a section's words. doubt: pseudo-count of the
+    prior in the weight of a word.
     """
 
-    max_labelled: int = 20_000
+    max_labelled: int = 6_000
     partitions: int = 12
+    part_words: int = 1_000_000
+    places: int = 1 << 20
     buckets: int = 1 << 14
     dim: int = 12
-    rounds: int = 16
+    rounds: int = 12
     step: float = 0.1
     level: float = 0.5
     share: float = 0.25
@@ -50,7 +54,6 @@ _EMPHASIS = regex.compile(r"'{2,}")
 _MARKS = regex.compile(r"\p{Mn}+")
 _COMMENT = regex.compile(r"<!--.*?-->|<ref[^>/]*/>|<ref[^>]*>.*?</ref>", regex.S | regex.I)
 _TABLE = regex.compile(r"\{\|.*?(?:\|\}|\z)", regex.S)
-_TEMPLATE = regex.compile(r"\{\{[^{}]*\}\}|\{\{\{[^{}]*\}\}\}")
 _TAG = regex.compile(r"</?[a-z][^<>]*>", regex.I)
 _META_LINK = regex.compile(r"\[\[\s*(?:category|kategorie|catégorie|categoría|file|datei|image)\s*:[^\[\]]*\]\]", regex.I)
 _LINK = regex.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]")
@@ -69,10 +72,7 @@ def sections(text: str | None) -> list[list[list[str]]]:
     if not text or _REDIRECT.match(text):
         return []
     text = _TABLE.sub(" ", _COMMENT.sub(" ", html.unescape(text)))
-    for _ in range(4):
-        text, n = _TEMPLATE.subn(" ", text)
-        if not n:
-            break
+    text = without_templates(text)
     text = _EMPHASIS.sub("", _LINK.sub(r"\1", _META_LINK.sub(" ", _TAG.sub(" ", text))))
     text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).casefold()
     out = []
@@ -83,15 +83,27 @@ def sections(text: str | None) -> list[list[list[str]]]:
     return out
 
 
-@lru_cache(maxsize=200_000)
 def features(word: str, buckets: int) -> tuple[int, ...]:
     """Bucket of a word in the lower half, of its subwords of three to five letters in the upper half."""
+    return _remembered(word, buckets) if len(word) <= 40 else _features(word, buckets)
+
+
+def _features(word: str, buckets: int) -> tuple[int, ...]:
     half = buckets // 2
-    marked = f"<{word[:40]}>"
+    marked = f"<{word}>"
     grams = {marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)}
     return (zlib.crc32(word.encode()) % half, *(half + zlib.crc32(g.encode()) % half for g in sorted(grams)))
 
 
+# Longer words are rare; they are cut up anew each time, in whole.
+_remembered = lru_cache(maxsize=200_000)(_features)
+
+
+def place(word: str, places: int) -> int:
+    """Where a word's weight stands in the hashed table of word weights."""
+    return zlib.crc32(word.encode(), 1) % places
+
+
 @dataclass
 class Prepared:
     """Texts as word indices, words as bucket indices."""
@@ -103,7 +115,7 @@ class Prepared:
     text_starts: np.ndarray
 
     @classmethod
-    def of(cls, texts: list[list[str]], buckets: int, weight: dict[str, float], unknown: float) -> Prepared:
+    def of(cls, texts: list[list[str]], buckets: int, weight: np.ndarray) -> Prepared:
         known: dict[str, int] = {}
         flat: list[int] = []
         starts, sizes, index = [], [], []
@@ -115,7 +127,7 @@ class Prepared:
             sizes.append(len(f))
             flat += f
         word_starts = np.cumsum([0, *sizes])[:-1] if sizes else np.zeros(0)
-        weights = np.array([weight.get(w, unknown) for w in known], np.float32)
+        weights = weight[[place(w, len(weight)) for w in known]]
         return cls(np.array(flat, np.int32), word_starts.astype(np.int64), weights, np.array(index, np.int32), np.array(starts, np.int64))
 
     def mass(self) -> np.ndarray:
@@ -183,12 +195,12 @@ class Adam:
 
 @dataclass
 class Model:
-    """What scoring needs: subjects in order, parameters, and the weights of the words that tell."""
+    """What scoring needs: subjects in order, parameters, and the hashed table of word weights."""
 
     subjects: list[str]
     embedding: np.ndarray
     output: np.ndarray
-    weight: dict[str, float]
+    weight: np.ndarray
     training: Training
 
     def of_sections(self, pages: list[list[list[list[str]]]]) -> list[set[str]]:
@@ -197,7 +209,7 @@ class Model:
         sentences = [s for page in pages for section in page for s in section]
         if not sentences:
             return [set() for _ in pages]
-        p = Prepared.of(sentences, t.buckets, self.weight, t.unknown)
+        p = Prepared.of(sentences, t.buckets, self.weight)
         prob = outputs(p, self.embedding, self.output)[0] * np.minimum(1.0, p.mass() / t.evidence)[:, None]
         out, at = [], 0
         for page in pages:
@@ -205,9 +217,7 @@ class Model:
             for section in page:
                 votes = prob[at : at + len(section)].sum(axis=0)
                 at += len(section)
-                best = int(votes.argmax())
-                if votes[best] >= max(t.level, t.share * len(section)):
-                    found.add(self.subjects[best])
+                found.update(self.subjects[i] for i in np.flatnonzero(votes >= max(t.level, t.share * len(section))))
             out.append(found)
         return out
 
@@ -256,22 +266,22 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], t: Train
     prior /= prior.sum()
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own: dict[str, np.ndarray] = {}
+        own: dict[int, np.ndarray] = {}
         for pdf in batches:
             for page, targets in zip(pdf["page"], pdf["targets"]):
                 y = np.zeros(n)
                 y[targets] = 1 / len(targets)
-                for word in {w for section in pickle.loads(page) for s in section for w in s}:
-                    if word in own:
-                        own[word] += y
+                for at in {place(w, t.places) for w in {w for section in pickle.loads(page) for s in section for w in s}}:
+                    if at in own:
+                        own[at] += y
                     else:
-                        own[word] = y.copy()
+                        own[at] = y.copy()
         if not own:
             return
         table = np.array(list(own.values())).reshape(-1, n)
-        yield pd.DataFrame({"word": list(own), **{f"n{i}": table[:, i] for i in range(n)}})
+        yield pd.DataFrame({"place": list(own), **{f"n{i}": table[:, i] for i in range(n)}})
 
-    sums = data.mapInPandas(counted, "word string, " + ", ".join(f"n{i} double" for i in range(n))).groupBy("word").agg(
+    sums = data.mapInPandas(counted, "place int, " + ", ".join(f"n{i} double" for i in range(n))).groupBy("place").agg(
         *[F.sum(f"n{i}").alias(f"n{i}") for i in range(n)]
     )
     total = sum((F.col(f"n{i}") for i in range(n)), F.lit(0.0)) + t.doubt
@@ -279,8 +289,11 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], t: Train
     for i in range(n):
         share = (F.col(f"n{i}") + t.doubt * float(prior[i])) / total
         gain = gain + share * F.log(share / float(prior[i]))
-    telling = sums.select("word", (gain / math.log(n)).alias("weight") if n > 1 else F.lit(1.0).alias("weight"))
-    weight = {r["word"]: min(1.0, r["weight"]) for r in telling.where(F.col("weight") > t.unknown).collect()}
+    telling = sums.select("place", (gain / math.log(n)).alias("weight") if n > 1 else F.lit(1.0).alias("weight"))
+    # At most t.places rows of two numbers, however many words there are.
+    told = telling.where(F.col("weight") > t.unknown).toPandas()
+    weight = np.full(t.places, t.unknown, np.float32)
+    weight[told["place"].to_numpy(np.int64)] = np.minimum(1.0, told["weight"])
 
     rng = np.random.default_rng(7)
     embedding = (rng.standard_normal((t.buckets, t.dim)) * 0.1).astype(np.float32)
@@ -293,12 +306,19 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], t: Train
 
         def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             embedding, output, weight = shared.value
-            pages, targets = [], []
+            pages, targets, held = [], [], 0
             for pdf in batches:
-                pages += [pickle.loads(p) for p in pdf["page"]]
-                targets += [list(y) for y in pdf["targets"]]
-            if not pages:
-                return
+                for page, y in zip(pdf["page"], pdf["targets"]):
+                    pages.append(pickle.loads(page))
+                    targets.append(list(y))
+                    held += sum(len(s) for section in pages[-1] for s in section)
+                    if held >= t.part_words:
+                        yield from piece(pages, targets, embedding, output, weight)
+                        pages, targets, held = [], [], 0
+            if pages:
+                yield from piece(pages, targets, embedding, output, weight)
+
+        def piece(pages, targets, embedding, output, weight) -> Iterator[pd.DataFrame]:
             if whole:
                 texts = [[w for section in page for s in section for w in s] for page in pages]
                 y = np.zeros((len(texts), n), np.float32)
@@ -308,7 +328,7 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], t: Train
             else:
                 parts = [(section, own, len(page)) for page, own in zip(pages, targets) for section in page]
                 joined = [[w for s in section for w in s] for section, _, _ in parts]
-                prob = outputs(Prepared.of(joined, t.buckets, weight, t.unknown), embedding, output)[0]
+                prob = outputs(Prepared.of(joined, t.buckets, weight), embedding, output)[0]
                 texts, rows, mask = [], [], []
                 for i, (section, own, alone) in enumerate(parts):
                     best = int(prob[i].argmax())
@@ -323,7 +343,7 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], t: Train
                 y[np.arange(len(texts)), rows] = 1
                 mask, size = np.array(mask, np.float32), float(len(parts))
             if texts:
-                blob = pickle.dumps((Prepared.of(texts, t.buckets, weight, t.unknown).__dict__, y, mask))
+                blob = pickle.dumps((Prepared.of(texts, t.buckets, weight).__dict__, y, mask))
                 yield pd.DataFrame({"part": [blob], "texts": [size]})
 
         return durable(data.mapInPandas(build, "part binary, texts double"))
@@ -336,11 +356,15 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], t: Train
 
             def push(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 embedding, output = shared.value
+                total = None
                 for pdf in batches:
                     for blob in pdf["part"]:
                         prepared, y, mask = pickle.loads(blob)
-                        g, h, _ = gradient(Prepared(**prepared), y, mask, embedding, output)
-                        yield pd.DataFrame({"g": [g.astype(np.float32).tobytes()], "h": [h.astype(np.float32).tobytes()]})
+                        own = gradient(Prepared(**prepared), y, mask, embedding, output)[:2]
+                        total = own if total is None else tuple(a + b for a, b in zip(total, own))
+                if total is not None:
+                    g, h = (x.astype(np.float32).tobytes() for x in total)
+                    yield pd.DataFrame({"g": [g], "h": [h]})
 
             g, h = np.zeros_like(embedding), np.zeros_like(output)
             for row in parts.mapInPandas(push, "g binary, h binary").collect():
@@ -358,9 +382,9 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], t: Train
 def assign(documents: DataFrame, model: Model, chunk_chars: int = 500_000) -> DataFrame:
     """doc_id and subject of every document, one row for each subject to which a section is devoted.
 
-    Each sentence is scored and a section's sentences vote; the section has the
-    subject with the highest sum of outputs, if that is enough for its length, so
-    that a remark in passing gives none. Sentences without telling words have no
+    Each sentence is scored and a section's sentences vote; the section has every
+    subject whose outputs, each subject for itself, add up to enough for its length,
+    so that a remark in passing gives none. Sentences without telling words have no
     vote. Null, blank, redirect and bare template texts have no row; repeated rows
     have repeated rows. Texts are scored whole, where they lie.
     """
