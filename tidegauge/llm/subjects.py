@@ -41,7 +41,7 @@ class Training:
     places: int = 1 << 20
     buckets: int = 1 << 14
     dim: int = 12
-    rounds: int = 12
+    rounds: int = 16
     step: float = 0.1
     level: float = 0.5
     share: float = 0.25
