@@ -11,8 +11,7 @@ import __spark_entry__ as entry
 
 TINY = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(TINY), reason="no test tables")
-NAMES = ["p1_found", "p2_found", "p5_found", "p6_found", "pit_snapshot", "bday_ffill", "iqr_flags", "gap_interpolate", "yoy_rows", "rule_vote",
-         "composite_score", "turning_point_state", "forward_return", "hac_se", "confusion_profile", "svensson_forward", "series_summary", "gate_report"]
+NAMES = sorted(n for n in entry.oracle_sql())
 
 
 def plain(v):

@@ -64,10 +64,10 @@ def test_every_indicator_is_aligned(spark, tmp_path):
 
 
 def test_days_of_any_year_are_aligned(spark, tmp_path):
-    observed = [("i", "x", datetime(y, 6, 1), 1.0) for y in (1995, 1999, 2031, 2044)]
-    aligned(spark, tmp_path, observed, [("A", datetime(1998, 5, 4), 7.0), ("A", datetime(2030, 5, 6), 9.0)])
-    got = entry.queries()["align_asof"](spark, str(tmp_path)).collect()
-    assert {r.day.year: r.value for r in got} == {1995: None, 1999: 7.0, 2031: 9.0, 2044: 9.0}
+    observed = [("i", "x", datetime(y, 6, 1), float(y)) for y in (1885, 1999, 2031)]
+    aligned(spark, tmp_path, observed, [("A", datetime(y, 5, 4), 7.0) for y in (1880, 1998, 2030, 2144)])
+    got = entry.queries()["align_indicators"](spark, str(tmp_path)).collect()
+    assert {r.month_end.year: r.value for r in got} == {1880: None, 1998: 1885.0, 2030: 1999.0, 2144: 2031.0}
 
 
 def test_markov_is_fitted_on_what_it_decodes(spark, tmp_path, monkeypatch):
@@ -110,28 +110,26 @@ DAILY = "entity string, day date, amount double"
 
 
 def same(rows, want):
-    plain = lambda rs: sorted((r.entity, r.day, r.window_days, r.n, round(r.total, 6)) for r in rs)
-    assert plain(rows.collect()) == plain(want.collect())
+    plain = lambda rs: sorted((r.entity, r.day, r.window_days, r.n, round(r.total, 6)) for r in rolling.figures(rs).collect())
+    assert plain(rows) == plain(want)
 
 
 def test_a_ticker_that_resumes_keeps_its_window(spark):
     before = [("a", D(2021, 1, 1), 1.0), ("a", D(2021, 1, 5), 2.0), ("b", D(2021, 1, 9), 4.0)]
     today = D(2021, 1, 10)
-    daily = spark.createDataFrame([*before, ("a", today, 8.0), ("b", today, 16.0), ("c", today, 32.0)], DAILY)
-    held = spark.createDataFrame(before, DAILY)
-    whole = rolling.rolling_state(daily)
-    same(rolling.advance(rolling.rolling_state(held), daily, today, 1), whole.where(f"day = '{today}'"))
-    carried = rolling.rolling_state(held, until=D(2021, 1, 9))
-    same(carried.unionByName(rolling.advance(carried, daily, today, 1)), whole)
+    fresh = spark.createDataFrame([("a", today, 8.0), ("b", today, 16.0), ("c", today, 32.0)], DAILY)
+    held = rolling.advance(None, spark.createDataFrame(before, DAILY))
+    whole = rolling.advance(None, spark.createDataFrame(before, DAILY).unionByName(fresh))
+    same(held.unionByName(rolling.advance(held, fresh, version=1)), whole)
+    carried = rolling.advance(None, spark.createDataFrame(before, DAILY), until=D(2021, 1, 9))
+    same(carried.unionByName(rolling.advance(carried, fresh, version=1)), whole)
 
 
 def test_a_late_amount_extends_the_range(spark):
     old = spark.createDataFrame([("a", D(2021, 3, 1), 1.0), ("a", D(2021, 3, 3), 2.0)], DAILY)
-    late = [("a", D(2021, 1, 1), 4.0), ("a", D(2021, 4, 20), 8.0), ("n", D(2021, 3, 2), 16.0)]
-    daily = old.unionByName(spark.createDataFrame(late, DAILY))
-    state = rolling.rolling_state(old)
-    new = rolling.correct(state, daily, spark.createDataFrame([r[:2] for r in late], "entity string, day date"), 1)
-    same(rolling.current(state.unionByName(new)), rolling.rolling_state(daily))
+    late = spark.createDataFrame([("a", D(2021, 1, 1), 4.0), ("a", D(2021, 4, 20), 8.0), ("n", D(2021, 3, 2), 16.0)], DAILY)
+    state = rolling.advance(None, old)
+    same(rolling.latest(state.unionByName(rolling.correct(state, late, 1))), rolling.advance(None, old.unionByName(late)))
 
 
 def test_old_revisions_of_a_later_batch_are_kept(spark, tmp_path):

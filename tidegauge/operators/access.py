@@ -115,3 +115,15 @@ def whole_vintage(vintages: DataFrame, as_of: Column, key: str = "vintage") -> D
     last = out.agg(F.max_by(key, vintage_end(F.col(key))).alias("last"))
     # One row.
     return out.join(F.broadcast(last), F.col(key) == F.col("last")).where(F.col("obs_day") <= vintage_end(F.col(key))).drop("last")
+
+
+class UnitsDiffer(ValueError):
+    """Series of different units meet where one unit is needed."""
+
+
+def assert_same_unit(meta: DataFrame, ids: Sequence[str]) -> str | None:
+    """The one unit of these indicators, null if they have none; more than one raises. The ids are a short stated list."""
+    units = [r["unit"] for r in meta.where(F.col("indicator_id").isin(list(ids))).select("unit").distinct().limit(3).collect()]
+    if len(units) > 1:
+        raise UnitsDiffer(f"{list(ids)}: {sorted(map(str, units))}")
+    return units[0] if units else None

@@ -8,10 +8,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidegauge.session import durable, spread
+from tidegauge.sources import store
 
 # US business-cycle turning points and the days they were announced (NBER).
 TURNING_POINTS = [
@@ -56,6 +57,13 @@ def announcement_of(month: Column, kind: Column) -> Column:
     return F.try_element_at(met, F.lit(1))["announced"]
 
 
+def recession_months(spark: SparkSession) -> DataFrame:
+    """month, label: 1 for each month after a peak up to its trough; a few dozen rows."""
+    falls = [(p[0], t[0]) for p, t in zip(TURNING_POINTS, TURNING_POINTS[1:]) if p[1] == "peak"]
+    held = F.array(*[F.sequence(F.add_months(F.lit(p).cast("date"), 1), F.lit(t).cast("date"), F.expr("interval 1 month")) for p, t in falls])
+    return spark.range(1).select(F.explode(F.flatten(held)).alias("month"), F.lit(1).alias("label"))
+
+
 #: Before this month announcements have no reliable dates.
 BOUNDARY = "1978-01-01"
 
@@ -292,8 +300,39 @@ def fit_markov_all(
     return m
 
 
+#: Version of the stored form of a model.
+MODEL_VERSION = "1"
+_PARTS = ("mean", "std", "start", "change", "centres", "covariances")
+
+
+def save_markov(spark: SparkSession, model: Markov, features: Sequence[str], path: str) -> str:
+    """Store a fitted model with the names of its features; returns the digest."""
+    body = {p: getattr(model, p).tolist() for p in _PARTS} | {"features": list(features), "log_likelihoods": model.log_likelihoods}
+    return store.write_model(spark, path, "markov", MODEL_VERSION, body)
+
+
+def load_markov(spark: SparkSession, path: str, features: Sequence[str]) -> Markov:
+    """A stored model of exactly these features; anything else raises StoreError."""
+    body = store.read_model(spark, path, "markov", MODEL_VERSION, {*_PARTS, "features"})
+    if body["features"] != list(features):
+        raise store.StoreError(f"{path}: features {body['features']}")
+    return Markov(*[np.array(body[p]) for p in _PARTS], body.get("log_likelihoods", []))
+
+
+def ranked_states(decoded: DataFrame, labels: DataFrame, key: str, day: str) -> DataFrame:
+    """state, share, months, rank: how often each state meets a label of 1, and its rank, the most labelled state first.
+
+    labels(key, day, label); rows without a label count for no share. Of equal
+    shares the lower state ranks first.
+    """
+    met = decoded.select(key, day, "state").join(labels.select(key, day, "label"), [key, day], "left")
+    share = met.groupBy("state").agg(F.avg(F.col("label").cast("double")).alias("share"), F.count("*").alias("months"))
+    # A row for each state of the model.
+    return share.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("share"), "state")))
+
+
 def decode(table: DataFrame, key: str, day: str, features: Sequence[str], model: Markov) -> DataFrame:
-    """key, day, state (most likely path) and probability (filtered, of that state); rows with a null feature are left out."""
+    """key, day, state (most likely path), probability and smoothed (of that state, from the rows so far and from all); rows with a null feature are left out."""
     slim = table.select(key, day, *[F.col(f).cast("double") for f in features]).na.drop(subset=list(features))
     types = dict(slim.dtypes)
 
@@ -312,6 +351,14 @@ def decode(table: DataFrame, key: str, day: str, features: Sequence[str], model:
             states.append(int(b[states[-1]]))
         states = states[::-1]
         alpha, _ = _forward(log_b, model)
-        return pd.DataFrame({key: pdf[key], day: pdf[day], "state": states, "probability": alpha[np.arange(len(x)), states]})
+        b = np.exp(log_b - log_b.max(axis=1, keepdims=True))
+        beta = np.ones_like(alpha)
+        for t in range(len(x) - 2, -1, -1):
+            v = model.change @ (b[t + 1] * beta[t + 1])
+            beta[t] = v / v.sum()
+        gamma = alpha * beta
+        gamma /= gamma.sum(axis=1, keepdims=True)
+        at = np.arange(len(x)), states
+        return pd.DataFrame({key: pdf[key], day: pdf[day], "state": states, "probability": alpha[at], "smoothed": gamma[at]})
 
-    return slim.groupBy(key).applyInPandas(path, f"{key} {types[key]}, {day} {types[day]}, state int, probability double")
+    return slim.groupBy(key).applyInPandas(path, f"{key} {types[key]}, {day} {types[day]}, state int, probability double, smoothed double")

@@ -129,7 +129,12 @@ def lagged_change(series: DataFrame, days: int) -> DataFrame:
 
 
 def forward_returns(series: DataFrame, months: int) -> DataFrame:
-    """id, month_end, forward: return from each month end to so many months later.
+    """id, month_end, forward: return from each month end to so many months later; see forward_returns_at."""
+    return forward_returns_at(series, (months,)).drop("months")
+
+
+def forward_returns_at(series: DataFrame, months: Sequence[int]) -> DataFrame:
+    """id, months, month_end, forward: return from each month end to each so many months later, all in one sort.
 
     Both legs are as-of readings of the month-end series, and months are added to
     the date before the look-up: from a 28 February the target of a leap year is
@@ -138,10 +143,11 @@ def forward_returns(series: DataFrame, months: int) -> DataFrame:
     """
     monthly = month_end_last(series)
     last = series.where("value is not null").groupBy("id").agg(F.max("day").alias("last_day"))
-    asked = monthly.join(last, "id").withColumn("target", F.add_months("month_end", months)).where("target <= last_day")
+    each = monthly.join(last, "id").withColumn("months", F.explode(F.array(*[F.lit(m) for m in months])))
+    asked = each.withColumn("target", F.expr("add_months(month_end, months)")).where("target <= last_day")
     ends = monthly.select("id", F.col("month_end").alias("end_of"), F.col("value").alias("later"))
-    found = asof_join(asked.select("id", "month_end", "value", "target"), ends, ["id"], "target", "end_of", ["later"])
-    return found.where("value <> 0 and later is not null").select("id", "month_end", (F.col("later") / F.col("value") - 1.0).alias("forward"))
+    found = asof_join(asked.select("id", "months", "month_end", "value", "target"), ends, ["id"], "target", "end_of", ["later"])
+    return found.where("value <> 0 and later is not null").select("id", "months", "month_end", (F.col("later") / F.col("value") - 1.0).alias("forward"))
 
 
 def hac_regression(pairs: DataFrame, keys: Sequence[str], lags: int) -> DataFrame:

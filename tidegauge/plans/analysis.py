@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidegauge.functions import scalar
 from tidegauge.operators import access, intervals, regime, series
 from tidegauge.plans.problems import _KNOWN
-from tidegauge.plans.reference import _GRIDM, _M, _POINTS, _S, _readings, _series, latest_view
+from tidegauge.plans.reference import _GRIDM, _M, _POINTS, _TAIL, _series, latest_view
 from tidegauge.tables import day, table
 
 QUERIES: dict = {}
@@ -165,12 +165,12 @@ def _observations(spark, d) -> DataFrame:
     return rows.select(F.concat_ws("|", "indicator_id", "area_code").alias("id"), F.col("obs_day").alias("day"), "value")
 
 
-@query(f"""with {_LATEST} select id, day, round(avg(value) over w, 6) as mean, count(*) over w as n from s
+@query(f"""with {_LATEST} select id, day, round(sum(value) over w, 6) / count(*) over w as mean, count(*) over w as n from s
 window w as (partition by id order by day range between interval 1826 days preceding and current row)""")
 def trailing_5y_mean(spark, d):
     """Mean of an indicator's observations of the five years (1826 days) up to each."""
     w = Window.partitionBy("id").orderBy(F.unix_date("day")).rangeBetween(-1826, 0)
-    return _observations(spark, d).select("id", "day", F.round(F.avg("value").over(w), 6).alias("mean"), F.count("*").over(w).alias("n"))
+    return _observations(spark, d).select("id", "day", (F.round(F.sum("value").over(w), 6) / F.count("*").over(w)).alias("mean"), F.count("*").over(w).alias("n"))
 
 
 @query(f"""with {_LATEST} select id, make_date(year(day), 12, 31) as year_end, arg_max(value, day) as value, round(median(value), 8) as middle, count(*) as n from s group by all""")
@@ -314,16 +314,13 @@ def label_transitions(spark, d):
     )
 
 
-@query("""with f as (select indicator_id, area_code, obs_ts::date as day, max(coalesce(outlier_flag, false)::int) as label from series_readings where obs_ts is not null group by all)
-select p.row_id, coalesce(f.label, 0)::int as label from vintage_panel p
-left join f on f.indicator_id = p.indicator_id and f.area_code = p.area_code and f.day = p.obs_date::date""")
+@query(f"""with {_POINTS}, falls as (select month as peak, lead(month) over (order by month) as trough, kind from points)
+select row_id, (exists (select 1 from falls where kind = 'peak' and date_trunc('month', obs_date) > peak and date_trunc('month', obs_date) <= trough))::int as label from vintage_panel""")
 def labels_on_observations(spark, d):
-    """Every observation with the label of its day, absent ones 0."""
-    f = table(spark, d, "series_readings").where("obs_ts is not null").groupBy("indicator_id", "area_code", day("obs_ts").alias("day")).agg(
-        F.max(F.coalesce("outlier_flag", F.lit(False)).cast("int")).alias("label")
-    )
-    p = table(spark, d, "vintage_panel").select("row_id", "indicator_id", "area_code", day("obs_date").alias("day"))
-    return p.join(f, ["indicator_id", "area_code", "day"], "left").select("row_id", F.coalesce("label", F.lit(0)).alias("label"))
+    """Every observation with the label of its month from a table of labelled months, absent ones 0."""
+    labels = regime.recession_months(spark)
+    p = table(spark, d, "vintage_panel").select("row_id", F.trunc(day("obs_date"), "month").alias("month"))
+    return p.join(labels, "month", "left").select("row_id", F.coalesce("label", F.lit(0)).alias("label"))
 
 
 # Regressions and signals
@@ -359,7 +356,7 @@ select indicator_id, area_code, target, months, n_nominal, (n_nominal // months)
   case when n_nominal < 2 then 'NO_OVERLAP' when n_nominal // months < 5 then 'UNDERPOWERED' else 'FULL' end as verdict,
   case when n_nominal < 2 then 'no overlap' when n_nominal < 3 then 'too few pairs' when not sxx > 0 then 'constant indicator' else 'fitted' end as reason,
   round(case when slope_se is not null then r2 end, 5) as r2, round(case when slope_se is not null then 1 - (1 - r2) * (n - 1) / (n - 2) end, 5) as adj_r2,
-  round(case when slope_se is not null then t * exp(-slope * slope / slope_se / slope_se / 2 + ({' + t * ('.join(repr(c) for c in scalar.TAIL_COEFFICIENTS)}{')' * (len(scalar.TAIL_COEFFICIENTS) - 1)})) end, 5) as p_slope
+  round(case when slope_se is not null then {_TAIL} end, 5) as p_slope
 from t""")
 def r2_cells(spark, d):
     """Every indicator and area against both market targets at all horizons: fit, verdict, and why a cell has none."""
@@ -453,12 +450,12 @@ def ratio_posterior(spark, d):
 # Sets, extents and units
 
 
-@query("""with v as (select indicator_id, area_code from vintage_panel group by all), r as (select indicator_id, area_code from series_readings group by all)
-select indicator_id, count(*) as in_both, min(area_code) as first_area from (select * from v intersect select * from r) group by all""")
+@query("""select indicator_id, count(*) as in_both, min(area_code) as first_area
+from (select indicator_id, area_code from vintage_panel intersect select indicator_id, area_code from asof_requests) group by all""")
 def set_intersection(spark, d):
-    """Series that both tables have, by indicator."""
+    """Series that are both held and asked for, by indicator."""
     ids = lambda t: table(spark, d, t).select("indicator_id", "area_code")
-    return ids("vintage_panel").intersect(ids("series_readings")).groupBy("indicator_id").agg(F.count("*").alias("in_both"), F.min("area_code").alias("first_area"))
+    return ids("vintage_panel").intersect(ids("asof_requests")).groupBy("indicator_id").agg(F.count("*").alias("in_both"), F.min("area_code").alias("first_area"))
 
 
 @query("""select indicator_id, count(distinct realtime_start::date) as vintages, count(distinct obs_date::date) as observations, count(distinct area_code) as areas,
@@ -507,6 +504,63 @@ def annualised_half_years(spark, d):
     return w.select("id", "month_end", F.round(scalar.annualised(F.col("later") / F.col("value") - 1, 6), 8).alias("yearly"))
 
 
+@query(f"""{_GRIDM}, y as (select id, month_end, (value / nullif(lag(value, 12) over (partition by id order by month_end), 0) - 1) * 100 as yoy from padded),
+market as (select month_end, avg(yoy) as yoy from y where yoy is not null group by month_end)
+select y.id, arg_max(y.month_end, y.month_end) as month_end, round(arg_max(y.yoy - market.yoy, y.month_end), 6) as real_change, round(median(y.yoy - market.yoy), 6) as usual
+from y join market using (month_end) where y.yoy is not null group by y.id""")
+def real_change(spark, d):
+    """Last yearly change of each series less that of all, as a rate less inflation, and its long-term median."""
+    before = F.lag("value", 12).over(Window.partitionBy("id").orderBy("month_end"))
+    y = series.month_grid(_series(spark, d)).select("id", "month_end", ((F.col("value") / F.nullif(before, F.lit(0.0)) - 1) * 100).alias("yoy")).where("yoy is not null")
+    market = y.groupBy("month_end").agg(F.avg("yoy").alias("all"))
+    real = y.join(market, "month_end").select("id", "month_end", (F.col("yoy") - F.col("all")).alias("r"))
+    return real.groupBy("id").agg(
+        F.max("month_end").alias("month_end"), F.round(F.max_by("r", "month_end"), 6).alias("real_change"), F.round(F.median("r"), 6).alias("usual")
+    )
+
+
+@query("""with n as (select indicator_id, area_code, note, min(rec_id) as first_rec from source_records where note is not null group by all)
+select indicator_id, area_code, list(note order by first_rec) as notes, count(*) as different from n group by all""")
+def notes_in_order(spark, d):
+    """Different notes of each series in order of their first record; repeats go before the lists are made."""
+    n = table(spark, d, "source_records").where("note is not null").groupBy("indicator_id", "area_code", "note").agg(F.min("rec_id").alias("at"))
+    held = F.transform(F.array_sort(F.collect_list(F.struct("at", "note"))), lambda x: x["note"])
+    return n.groupBy("indicator_id", "area_code").agg(held.alias("notes"), F.count("*").alias("different"))
+
+
+@query("""select indicator_id, unnest(['unit', 'source', 'first', 'lag', 'suspect']) as entry,
+  unnest([unit, source, strftime(first_obs, '%Y-%m-%d'), release_lag_days::varchar, len(data_quality_suspect_periods)::varchar]) as value from indicator_meta""")
+def metadata_entries(spark, d):
+    """Metadata as one map to an indicator, merged from two, and flattened to entries."""
+    m = table(spark, d, "indicator_meta")
+    named = F.create_map(F.lit("unit"), F.col("unit"), F.lit("source"), F.col("source"), F.lit("first"), F.date_format("first_obs", "yyyy-MM-dd"))
+    counted = F.create_map(F.lit("lag"), F.col("release_lag_days").cast("string"), F.lit("suspect"), F.when(F.col("data_quality_suspect_periods").isNotNull(), F.size("data_quality_suspect_periods").cast("string")))
+    return m.select("indicator_id", F.explode(F.map_concat(named, counted)).alias("entry", "value"))
+
+
+@query(f"""select row_id, (strftime(obs_date, '%Y-%m') || '-01')::date as month, obs_date::date >= date '{regime.BOUNDARY}' as dated,
+  row_number() over (partition by indicator_id order by area_code nulls first, obs_date nulls first, row_id) as place,
+  case when realtime_start is not null then dense_rank() over (partition by indicator_id order by year(realtime_start), quarter(realtime_start)) end as vintage_rank from vintage_panel""")
+def stable_order(spark, d):
+    """Each row's month, its place in a full order of its indicator's rows, and the rank of its quarter's vintage."""
+    p = table(spark, d, "vintage_panel")
+    order = Window.partitionBy("indicator_id").orderBy("area_code", "obs_date", "row_id")
+    by_quarter = Window.partitionBy("indicator_id").orderBy(F.asc_nulls_last(F.year("realtime_start")), F.asc_nulls_last(F.quarter("realtime_start")))
+    return p.select(
+        "row_id", F.to_date(F.concat(F.date_format("obs_date", "yyyy-MM"), F.lit("-01"))).alias("month"), (day("obs_date") >= F.lit(regime.BOUNDARY).cast("date")).alias("dated"),
+        F.row_number().over(order).alias("place"), F.when(F.col("realtime_start").isNotNull(), F.dense_rank().over(by_quarter)).alias("vintage_rank"),
+    )
+
+
+@query("""with u as (select s.indicator_id, s.area_code, count(distinct m.unit) as units, count(*) as n from series_readings s join indicator_meta m using (indicator_id) group by all)
+select m.unit, count(*) as series, sum(u.n)::bigint as readings, bool_and(u.units <= 1) as one_unit from u join indicator_meta m using (indicator_id) group by m.unit""")
+def unit_agreement(spark, d):
+    """Series and readings by unit, and whether each series has one unit only."""
+    m = table(spark, d, "indicator_meta").select("indicator_id", "unit")
+    u = table(spark, d, "series_readings").join(m, "indicator_id").groupBy("indicator_id", "area_code").agg(F.count_distinct("unit").alias("units"), F.count("*").alias("n"))
+    return u.join(m, "indicator_id").groupBy("unit").agg(F.count("*").alias("series"), F.sum("n").alias("readings"), F.bool_and(F.col("units") <= 1).alias("one_unit"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

@@ -178,22 +178,6 @@ def bday_ffill(spark, d):
     return series.forward_fill(_with_nulls(spark, d))
 
 
-@query(f"""{_S}, o as (select distinct indicator_id, obs_date::date as day from vintage_panel where obs_date is not null),
-t as (select ticker as id from market_close group by ticker order by count(*) desc, ticker limit 1)
-select o.indicator_id, o.day, x.value from o asof left join (select s.* from s join t using (id)) x on o.day >= x.day""")
-def align_asof(spark, d):
-    """The busiest ticker's close in force on each indicator's observation days."""
-    busiest = table(spark, d, "market_close").groupBy(F.col("ticker").alias("id")).count().orderBy(F.desc("count"), "id").limit(1).select("id")
-    target = _series(spark, d).join(F.broadcast(busiest), "id").select("day", "value")
-    days = table(spark, d, "vintage_panel").select("indicator_id", day("obs_date").alias("day")).where("day is not null").distinct()
-    # One target for all: its years make the buckets, so that no single task holds every row.
-    years = days.select(F.year("day").alias("y")).distinct()
-    span = target.select(F.col("day").alias("held"), "value").crossJoin(F.broadcast(years))
-    opening = span.where("year(held) < y").groupBy("y").agg(F.max(F.struct("held", "value")).alias("b")).select("y", "b.held", "b.value")
-    held = span.where("year(held) = y").unionByName(opening)
-    return series.asof_join(days.withColumn("y", F.year("day")), held, ["y"], "day", "held", ["value"]).select("indicator_id", "day", "value")
-
-
 @query(f"""{_S}, o as (select indicator_id, area_code, obs_date::date as obs_day, arg_max_null(value, row_id) as value
   from vintage_panel where obs_date is not null group by all),
 asked as (select * from (select distinct indicator_id, area_code from o) cross join (select distinct last_day(day) as month_end from s)),
@@ -492,24 +476,30 @@ def _pairs(spark, d, months: int) -> DataFrame:
 def _hac_sql(h: int) -> str:
     lags = range(1, h)
     z = "".join(f", lag(z, {k}) over (partition by id order by month_end) as z{k}" for k in lags)
-    total = "sum(z * z)" + "".join(f" + {2 * (1 - k / h)!r} * coalesce(sum(z * z{k}), 0)" for k in lags)
+    of = lambda v: f"sum({v} * {v})" + "".join(f" + {2 * (1 - k / h)!r} * coalesce(sum({v} * {v}{k}), 0)" for k in lags)
+    z += "".join(f", lag(c, {k}) over (partition by id order by month_end) as c{k}" for k in lags)
     return f"""{_forward_sql(h)}, mv as (select a.id, a.day, a.value / nullif(b.value, 0) - 1 as x from s a asof left join s b on a.id = b.id and a.day - 90 >= b.day),
 xm as (select id, last_day(day) as month_end, arg_max(x, day) as x from mv where x is not null group by all),
 pairs as (select fwd.id, fwd.month_end, x, forward as y from fwd join xm using (id, month_end)),
 fit as (select id, count(*) as n, regr_slope(y, x) as slope, regr_intercept(y, x) as intercept, regr_r2(y, x) as r2, avg(x) as mx, regr_sxx(y, x) as sxx
   from pairs group by id having count(*) >= 3 and regr_sxx(y, x) > 0),
-u as (select p.*, f.* exclude (id), y - intercept - slope * x as u, (x - mx) * (y - intercept - slope * x) / sxx as z from pairs p join fit f using (id)),
+u as (select p.*, f.* exclude (id), y - intercept - slope * x as u, (x - mx) * (y - intercept - slope * x) / sxx as z,
+  (1.0::double / n - mx * (x - mx) / sxx) * (y - intercept - slope * x) as c from pairs p join fit f using (id)),
 zz as (select *{z} from u),
 hac as (select id, first(n) as n, first(slope) as slope, first(intercept) as intercept, first(r2) as r2,
-  sqrt(greatest({total}, 0)) as slope_se, stddev_samp(u) as resid_se from zz group by id)"""
+  sqrt(greatest({of('z')}, 0)) as slope_se, sqrt(greatest({of('c')}, 0)) as intercept_se, stddev_samp(u) as resid_se from zz group by id)"""
 
 
 def _hac_columns() -> list[Column]:
-    return [F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2", "slope_se", "resid_se")]
+    return [F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2", "adj_r2", "slope_se", "intercept_se", "p_slope", "resid_se")]
+
 
+_TAIL = f"t * exp(-slope * slope / slope_se / slope_se / 2 + ({' + t * ('.join(repr(c) for c in scalar.TAIL_COEFFICIENTS)}{')' * (len(scalar.TAIL_COEFFICIENTS) - 1)}))"
 
-@query(_hac_sql(3) + """ select id, n, round(slope, 6) as slope, round(intercept, 6) as intercept, round(r2, 6) as r2,
-  round(slope_se, 6) as slope_se, round(resid_se, 6) as resid_se from hac""")
+
+@query(_hac_sql(3) + f""", p as (select *, case when slope_se > 0 then 1 / (1 + 0.5 * abs(slope / slope_se) / sqrt(2)) end as t from hac)
+select id, n, round(slope, 6) as slope, round(intercept, 6) as intercept, round(r2, 6) as r2, round(1 - (1 - r2) * (n - 1) / (n - 2), 6) as adj_r2,
+  round(slope_se, 6) as slope_se, round(intercept_se, 6) as intercept_se, round({_TAIL}, 6) as p_slope, round(resid_se, 6) as resid_se from p""")
 def hac_se(spark, d):
     return series.hac_regression(_pairs(spark, d, 3), ["id"], 2).select("id", "n", *_hac_columns())
 
@@ -521,17 +511,21 @@ _PANEL = " union all ".join(
 
 
 def _panel_r2(spark, d) -> DataFrame:
-    ids = _series(spark, d).select("id").distinct()
-    out = None
-    for months in (1, 3, 6):
-        pairs = _pairs(spark, d, months).where("x is not null and y is not null")
-        n = pairs.groupBy("id").agg(F.count("*").alias("c"))
-        fit = series.hac_regression(pairs, ["id"], months - 1).select("id", "r2")
-        rows = ids.join(n, "id", "left").join(fit, "id", "left").select(
-            "id", F.lit(months).alias("months"), F.coalesce("c", F.lit(0)).alias("n_nominal"), "r2", scalar.verdict(F.coalesce("c", F.lit(0)), months).alias("verdict")
-        )
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """All horizons from one frame of pairs."""
+    s = _series(spark, d)
+    ids = s.select("id", F.explode(F.array(*[F.lit(h) for h in (1, 3, 6)])).alias("months")).distinct()
+    move = series.lagged_change(s, 90).select("id", "day", (F.col("value") / F.nullif("before", F.lit(0.0)) - 1).alias("value"))
+    at_end = series.month_end_last(move).select("id", "month_end", F.col("value").alias("x"))
+    forward = series.forward_returns_at(s, (1, 3, 6)).join(at_end, ["id", "month_end"])
+    pairs = forward.where("x is not null and forward is not null").select(
+        "id", "months", (F.col("months") - 1).alias("lags"), F.col("month_end").alias("position"), "x", F.col("forward").alias("y")
+    )
+    n = pairs.groupBy("id", "months").agg(F.count("*").alias("c"))
+    fit = series.hac_by_lags(pairs, ["id", "months"], "lags").select("id", "months", "r2")
+    rows = ids.join(n, ["id", "months"], "left").join(fit, ["id", "months"], "left").withColumn("n_nominal", F.coalesce("c", F.lit(0)))
+    of = F.col("n_nominal")
+    verdict = F.when(of < 2, "NO_OVERLAP").when(F.floor(of / F.col("months")) < 5, "UNDERPOWERED").otherwise("FULL")
+    return rows.select("id", "months", "n_nominal", "r2", verdict.alias("verdict"))
 
 
 _VERDICT = "case when n_nominal < 2 then 'NO_OVERLAP' when n_nominal // months < 5 then 'UNDERPOWERED' else 'FULL' end"
@@ -655,17 +649,6 @@ def source_label(spark, d):
     )
 
 
-@query(f"""{_M}, a as (select id, month_end, value from m), ids as (select id from s group by id order by id limit 2),
-x as (select month_end, value from a where id = (select min(id) from ids)), y as (select month_end, value from a where id = (select max(id) from ids))
-select month_end, round(x.value / nullif(y.value, 0), 8) as ratio from x join y using (month_end)""")
-def ratio_inner(spark, d):
-    """Ratio of the first two tickers on the month ends that both have."""
-    m = series.month_end_last(_series(spark, d))
-    ids = m.agg(F.slice(F.array_sort(F.collect_set("id")), 1, 2).alias("ids"))
-    pick = lambda i, name: m.join(F.broadcast(ids.select(F.try_element_at("ids", F.lit(i)).alias("id"))), "id").select("month_end", F.col("value").alias(name))
-    return pick(1, "a").join(pick(2, "b"), "month_end").select("month_end", F.round(F.col("a") / F.nullif("b", F.lit(0.0)), 8).alias("ratio"))
-
-
 @query(f"""{_M}, market as (select month_end, avg(value) as mean from m group by month_end)
 select id, month_end, round(value / nullif(mean, 0), 8) as ratio from m join market using (month_end)""")
 def ratio_market(spark, d):

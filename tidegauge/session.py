@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -28,6 +30,13 @@ def get_session(name: str = "tidegauge", cores: int | str = "*", **conf: str) ->
     return spark
 
 
+def _own_folder(prefix: str) -> str:
+    """A folder of this process, gone when it ends."""
+    folder = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names in spark.checkpoint.dir.
 
@@ -42,7 +51,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if named:
         sc.setCheckpointDir(named)
     elif sc.master.startswith("local[") or sc.master == "local":
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidegauge-checkpoint-"))
+        sc.setCheckpointDir(_own_folder("tidegauge-checkpoint-"))
     else:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
@@ -87,7 +96,7 @@ def ship_package(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     here = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="tidegauge-package-")) / "tidegauge.zip"
+    target = Path(_own_folder("tidegauge-package-")) / "tidegauge.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
         for source in sorted(here.rglob("*.py")):
             archive.write(source, str(source.relative_to(here.parent)))

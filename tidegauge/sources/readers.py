@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -110,3 +112,69 @@ def turning_points(spark: SparkSession, path: str) -> DataFrame:
     ).where("month is not null").select(F.to_date(F.concat("month", F.lit("-01"))).alias("month"), "kind", "announced")
     late = F.col("announced") > F.last_day("month")
     return rows.withColumn("announced", F.when(late, F.col("announced")).otherwise(F.raise_error(F.concat(F.lit("announced too early: "), F.col("month").cast("string"))).cast("date")))
+
+
+def reserves(frame: DataFrame, area: str = "World", code: str = "series_code", place: str = "area") -> DataFrame:
+    """id (currency), obs_date, value of a wide table of reserves by currency: one area's rows, the currency from the series code."""
+    currency = F.regexp_extract(F.col(code), r"_([A-Z]{3})(?:_|$)", 1)
+    own = frame.where(F.col(place) == area).withColumn("id", currency).where("id <> ''")
+    return wide_quarters(own, ["id"]).groupBy("id", "obs_date").agg(F.max("value").alias("value"))
+
+
+def closes(frame: DataFrame, day: str, names: Sequence[str] = ("Close", "close", "Adj Close")) -> DataFrame:
+    """id, obs_date, value from market data with one level of columns (Close) or two (Close|TICKER), by the first name that fits."""
+    for name in names:
+        if name in frame.columns:
+            return frame.select(F.lit(name).alias("id"), F.to_date(day).alias("obs_date"), F.col(f"`{name}`").cast("double").alias("value")).where("obs_date is not null and value is not null")
+        pairs = [c for c in frame.columns if c.startswith(f"{name}|")]
+        if pairs:
+            long = frame.select(F.to_date(day).alias("obs_date"), *[F.col(f"`{c}`").cast("double").alias(c.partition("|")[2]) for c in pairs])
+            return long.unpivot("obs_date", [c.partition("|")[2] for c in pairs], "id", "value").where("obs_date is not null and value is not null").select("id", "obs_date", "value")
+    raise ValueError(f"no column of {list(names)}")
+
+
+@dataclass
+class Loaded:
+    """What every loader gives: long series(id, obs_date, value), what is known of each id, and what couldn't be had."""
+
+    series: DataFrame
+    metadata: dict[str, dict]
+    failed: dict[str, str]
+
+
+def load_all(spark: SparkSession, loaders: Mapping[str, Callable[[], DataFrame]], metadata: Mapping[str, dict] | None = None) -> Loaded:
+    """The series of all loaders under their names; one that fails is named in failed and leaves the others alone.
+
+    Each loader gives obs_date and value. A loader's schema and its first row are
+    asked for at once, so that a missing or unreadable file fails here; one without
+    any row fails as empty.
+    """
+    parts, failed = [], {}
+    for name, load in loaders.items():
+        try:
+            part = load().select(F.lit(name).alias("id"), "obs_date", F.col("value").cast("double").alias("value"))
+            if part.isEmpty():
+                raise ValueError("empty")
+            parts.append(part)
+        except Exception as e:  # whatever one source does, the others must come
+            failed[name] = f"{type(e).__name__}: {str(e).splitlines()[0]}"
+    schema = "id string, obs_date date, value double"
+    whole = reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    return Loaded(whole, {n: dict((metadata or {}).get(n, {})) for n in loaders if n not in failed}, failed)
+
+
+def chart_files(spark: SparkSession, folder: str, registry: Mapping[str, dict]) -> Loaded:
+    """All registered chart exports of a folder, by one listing: registry maps file_id to id, scale and further metadata.
+
+    Files without an entry are skipped and named in failed, as are entries without a
+    file; every id is tagged as of tier 5, charts being the last resort.
+    """
+    from tidegauge.sources.store import _fs
+
+    fs, p = _fs(spark, folder)
+    there = {s.getPath().getName()[:-4] for s in fs.listStatus(p) if s.getPath().getName().endswith(".csv")}
+    rows = [(f, m["id"], float(m.get("scale", 1.0))) for f, m in registry.items() if f in there]
+    failed = {f: "not registered" for f in there - registry.keys()} | {registry[f]["id"]: "no file" for f in registry.keys() - there}
+    known = spark.createDataFrame(rows, "file_id string, id string, scale double")
+    series = chart_csv(spark, f"{folder}/*.csv", known)
+    return Loaded(series, {i: {**registry[f], "tier": 5} for f, i, _ in rows}, failed)
