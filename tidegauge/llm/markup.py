@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import regex
 
+_INNER = regex.compile(r"\{\{[^{}]*\}\}")
 _BRACES = regex.compile(r"\{\{|\}\}")
 
 
 def without_templates(text: str) -> str:
     """text with every matched {{...}} replaced by a space, however deep it nests; braces without a partner stay."""
+    if "{{" not in text:
+        return text
+    # Most templates don't nest, or once; the full pass takes what is left.
+    text = _INNER.sub(" ", _INNER.sub(" ", text))
     if "{{" not in text:
         return text
     open_at: list[int] = []

@@ -71,10 +71,23 @@ def sections(text: str | None) -> list[list[list[str]]]:
     """
     if not text or _REDIRECT.match(text):
         return []
-    text = _TABLE.sub(" ", _COMMENT.sub(" ", html.unescape(text)))
+    # A pattern runs only where its first mark is there.
+    if "&" in text:
+        text = html.unescape(text)
+    if "<" in text:
+        text = _COMMENT.sub(" ", text)
+    if "{|" in text:
+        text = _TABLE.sub(" ", text)
     text = without_templates(text)
-    text = _EMPHASIS.sub("", _LINK.sub(r"\1", _META_LINK.sub(" ", _TAG.sub(" ", text))))
-    text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).casefold()
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    if "[[" in text:
+        text = _LINK.sub(r"\1", _META_LINK.sub(" ", text))
+    if "''" in text:
+        text = _EMPHASIS.sub("", text)
+    if not text.isascii():
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
+    text = text.casefold()
     out = []
     for part in _HEADING.split(text):
         found = [w for s in _SENTENCE.split(part) if (w := _WORD.findall(s))]
@@ -113,6 +126,7 @@ class Prepared:
     word_weight: np.ndarray
     index: np.ndarray  # word of each place, flat over the texts
     text_starts: np.ndarray
+    turned: dict[str, np.ndarray] | None = None  # see turn
 
     @classmethod
     def of(cls, texts: list[list[str]], buckets: int, weight: np.ndarray) -> Prepared:
@@ -130,6 +144,20 @@ class Prepared:
         weights = weight[[place(w, len(weight)) for w in known]]
         return cls(np.array(flat, np.int32), word_starts.astype(np.int64), weights, np.array(index, np.int32), np.array(starts, np.int64))
 
+    def turn(self) -> Prepared:
+        """Keep the orders in which gradients are gathered: texts by word, and words by bucket; they are the same every round."""
+        by_word = np.argsort(self.index, kind="stable")
+        texts = np.repeat(np.arange(len(self.text_starts), dtype=np.int32), self.sizes())[by_word]
+        by_bucket = np.argsort(self.word_features, kind="stable")
+        sizes = np.diff(np.append(self.word_starts, len(self.word_features)))
+        words = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[by_bucket]
+        first = lambda v: np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
+        at = self.word_features[by_bucket]
+        self.turned = {
+            "texts": texts, "word_first": first(self.index[by_word]), "words": words, "order": by_bucket, "bucket_first": first(at), "buckets": at[first(at)],
+        }
+        return self
+
     def mass(self) -> np.ndarray:
         """Summed weight of each text's words."""
         return _sum(self.word_weight[self.index], self.text_starts)
@@ -143,17 +171,6 @@ def _sum(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(values, starts, axis=0) if len(starts) else np.zeros((0, *values.shape[1:]), values.dtype)
 
 
-def _scatter(rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows with the same place."""
-    order = np.argsort(at, kind="stable")
-    sorted_at = at[order]
-    first = np.flatnonzero(np.r_[True, sorted_at[1:] != sorted_at[:-1]]) if len(at) else np.zeros(0, np.int64)
-    out = np.zeros((n, rows.shape[1]), rows.dtype)
-    if len(at):
-        out[sorted_at[first]] = np.add.reduceat(rows[order], first, axis=0)
-    return out
-
-
 def word_vectors(p: Prepared, embedding: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A word's own vector plus the mean of its subwords' vectors; also the weight of each of its features."""
     sizes = np.diff(np.append(p.word_starts, len(p.word_features)))
@@ -170,16 +187,24 @@ def outputs(p: Prepared, embedding: np.ndarray, weights: np.ndarray) -> tuple[np
     return 1.0 / (1.0 + np.exp(-np.clip(logits, -30, 30))), mean, weight
 
 
-def gradient(p: Prepared, target: np.ndarray, mask: np.ndarray, embedding: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Summed gradient of the cross entropy for embedding and output weights, and the summed loss."""
+def gradient(p: Prepared, target: np.ndarray, mask: np.ndarray, embedding: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Summed gradient of the cross entropy for embedding and output weights."""
     prob, mean, weight = outputs(p, embedding, weights)
-    error = ((prob - target) * mask[:, None]).astype(np.float32)
-    loss = float((-(target * np.log(prob + 1e-9) + (1 - target) * np.log(1 - prob + 1e-9)) * mask[:, None]).sum())
+    error = ((prob - target) * mask[:, None]).astype(embedding.dtype)
     d_weights = np.vstack([mean.T @ error, error.sum(axis=0)])
     d_mean = (error @ weights[:-1].T) / p.mass()[:, None]
-    d_vector = _scatter(np.repeat(d_mean, p.sizes(), axis=0), p.index, len(p.word_starts)) * p.word_weight[:, None]
-    spread = np.repeat(d_vector, np.diff(np.append(p.word_starts, len(p.word_features))), axis=0) * weight[:, None]
-    return _scatter(spread, p.word_features, len(embedding)), d_weights, loss
+    t = p.turned if p.turned is not None else p.turn().turned
+    # Every word stands somewhere, so the sums come in the order of the words.
+    d_vector = np.add.reduceat(d_mean[t["texts"]], t["word_first"], axis=0) * p.word_weight[:, None]
+    out = np.zeros_like(embedding)
+    out[t["buckets"]] = np.add.reduceat(d_vector[t["words"]] * weight[t["order"]][:, None], t["bucket_first"], axis=0)
+    return out, d_weights
+
+
+def loss(p: Prepared, target: np.ndarray, mask: np.ndarray, embedding: np.ndarray, weights: np.ndarray) -> float:
+    """Summed cross entropy."""
+    prob = outputs(p, embedding, weights)[0]
+    return float((-(target * np.log(prob + 1e-9) + (1 - target) * np.log(1 - prob + 1e-9)) * mask[:, None]).sum())
 
 
 class Adam:
@@ -343,7 +368,7 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], t: Train
                 y[np.arange(len(texts)), rows] = 1
                 mask, size = np.array(mask, np.float32), float(len(parts))
             if texts:
-                blob = pickle.dumps((Prepared.of(texts, t.buckets, weight).__dict__, y, mask))
+                blob = pickle.dumps((Prepared.of(texts, t.buckets, weight).turn().__dict__, y, mask))
                 yield pd.DataFrame({"part": [blob], "texts": [size]})
 
         return durable(data.mapInPandas(build, "part binary, texts double"))
@@ -360,7 +385,7 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], t: Train
                 for pdf in batches:
                     for blob in pdf["part"]:
                         prepared, y, mask = pickle.loads(blob)
-                        own = gradient(Prepared(**prepared), y, mask, embedding, output)[:2]
+                        own = gradient(Prepared(**prepared), y, mask, embedding, output)
                         total = own if total is None else tuple(a + b for a, b in zip(total, own))
                 if total is not None:
                     g, h = (x.astype(np.float32).tobytes() for x in total)
