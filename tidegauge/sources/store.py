@@ -72,7 +72,12 @@ def write_table(df: DataFrame, path: str, schema_version: str, **meta) -> dict:
     except StoreError:
         old = {}
     folder = f"data-{datetime.now(UTC):%Y%m%dT%H%M%S}-{uuid.uuid4().hex[:8]}"
-    df.write.parquet(f"{path}/{folder}")
+    try:
+        df.write.parquet(f"{path}/{folder}")
+    except Exception:
+        fs, partial = _fs(spark, f"{path}/{folder}")
+        fs.delete(partial, True)
+        raise
     sizes = _sizes(spark, f"{path}/{folder}")
     manifest = {
         "schema_version": schema_version, "row_count": spark.read.schema(df.schema).parquet(f"{path}/{folder}").count(),
