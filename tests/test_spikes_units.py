@@ -90,3 +90,101 @@ def test_common_units(spark):
     basis = {r.id: r.basis for r in units.common_units(frame).collect()}
     assert (basis[0], basis[50], basis[51], basis[52], basis[54], basis[55]) == ("home", "level", "level", None, "label", "home")
     assert units.common_units(frame.limit(0)).count() == 0
+
+
+def plain_chart(x, rules, floor):
+    """One series, one reading at a time."""
+    mean, since, side = float(np.median(x[:15])), 0, 0
+    scale = max(floor, float(np.median(np.abs(np.diff(x))))) if len(x) > 1 else floor
+    out = []
+    for i, v in enumerate(x):
+        out.append((mean, scale))
+        r = v - mean
+        suspect = abs(r) > rules.limit * scale
+        most = (rules.suspect_clip if suspect else rules.clip) * scale
+        now = (1 if r > 0 else -1) if suspect else 0
+        since = (since + 1 if now == side else 1) if suspect else 0
+        side = now
+        used = max(-most, min(most, r))
+        mean += rules.weight * used
+        scale = max(floor, scale + rules.weight / 4 * (abs(used) - scale))
+        if since >= rules.settle:
+            mean, since, side = float(np.median(x[i - rules.settle + 1 : i + 1])), 0, 0
+    return np.array(out)
+
+
+def test_charts_of_many_series_are_those_of_each():
+    rng = np.random.default_rng(8)
+    xs = [np.round(rng.normal(50, 2, n), 2) for n in (5, 90, 40, 200, 1)]
+    xs[1][30:60] += 80
+    xs[3][[20, 21, 150]] = 500
+    rules = spikes.ChartRules()
+    for x, (m, s) in zip(xs, spikes.charts(xs, np.full(5, 0.1), rules)):
+        assert np.allclose(np.c_[m, s], plain_chart(x, rules, 0.1))
+
+
+FLAGGED = "ind string, rid long, ts timestamp, v double"
+
+
+def flagged(spark, rows, **how):
+    limits = spark.createDataFrame([("none", 0.0, 0.0)], "ind string, low double, high double")
+    got = spikes.flag_readings(spark.createDataFrame(rows, FLAGGED), limits, ["ind"], "rid", "ts", "v", ["ind"], "low", "high", **how)
+    return sorted((r.rid, r.reason) for r in got.collect())
+
+
+def test_every_moment_is_charted(spark):
+    t = datetime(2021, 1, 1)
+    x = noise(480, seed=3)
+    x[200:240] = x[200]
+    rows = [("h", n, t + timedelta(hours=n), float(v)) for n, v in enumerate(x)]
+    assert flagged(spark, rows) == [(n, "stuck") for n in range(201, 240)]
+    # Copies of a flagged figure are flagged with it, a third and fourth one too, under one number or several.
+    copies = [("h", 1000 + k, t + timedelta(hours=220), float(x[220])) for k in range(3)] + [("h", 1000, t + timedelta(hours=220), float(x[220]))]
+    assert flagged(spark, rows + copies) == sorted([(n, "stuck") for n in range(201, 240)] + [(1000, "stuck")] * 2 + [(1001, "stuck"), (1002, "stuck")])
+
+
+def test_long_series_in_spans(spark):
+    t = datetime(2021, 1, 1)
+    x = noise(1200, seed=4)
+    x[[100, 399, 400, 801]] = 300.0
+    x[600:640] = x[600]
+    rows = [("long", n, t + timedelta(minutes=n), float(v)) for n, v in enumerate(x)] + [("short", 5000 + n, t + timedelta(days=n), float(v)) for n, v in enumerate(noise(50))]
+    want = sorted([(n, "spike") for n in (100, 399, 400, 801)] + [(n, "stuck") for n in range(601, 640)])
+    assert flagged(spark, rows) == want and flagged(spark, rows, hot_rows=300) == want
+
+
+def test_values_against_a_plain_reading(spark):
+    import os
+    from collections import defaultdict
+
+    from tidegauge.plans import problems
+
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("no test tables")
+    power = {u: p for units_ in units.FAMILIES.values() for u, p in units_.items()}
+    rows, levels = {}, defaultdict(list)
+    for r in problems._records(spark, d).collect():
+        family = units.FAMILY_OF.get(r.home)
+        figure, said = units.read_value(r.text, family) if r.text is not None else (None, None)
+        if family:
+            said = said or (r.field and units.unit_of_field(r.field, family)) or (r.note and units.unit_of_prose(r.note, family)) or (r.span and units.unit_of_prose(r.span, family)) or None
+        rows[r.id] = (r, family, figure, said)
+        if figure and family:
+            levels[r.series] += [round(np.log10(abs(figure)) + power[said or r.home], 2)] * (3 if said else 1)
+    got = {r.rec_id: r for r in problems.p4_values(spark, d).collect()}
+    assert got.keys() == rows.keys()
+    moved = 0
+    for i, (r, family, figure, said) in rows.items():
+        if figure is None:
+            assert got[i].value is None and got[i].unit is None
+            continue
+        unit = said or r.home
+        if figure and family:
+            usual, steps = np.median(levels[r.series]), sorted(units.FAMILIES[family].values())
+            at = np.log10(abs(figure))
+            if abs(at + power[unit] - usual) > 0.625 * min(b - a for a, b in zip(steps, steps[1:])):
+                unit = min(units.FAMILIES[family], key=lambda u: abs(at + power[u] - usual))
+        moved += unit != r.home
+        assert got[i].unit == unit and np.isclose(got[i].value, figure * 10.0 ** (power.get(unit, 0) - power.get(r.home, 0)))
+    assert moved > 10

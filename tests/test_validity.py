@@ -65,3 +65,21 @@ def test_history_null_is_a_value(spark):
     ]
     assert got.where("entity is null").count() == 1 and got.where("entity = 'z'").count() == 0 and got.where("entity = 'n'").count() == 1
     assert validity.history(changes(spark, []), ["entity"], "d", "rid", ["value", "other"]).count() == 0
+
+
+def test_places_that_collide_lose_and_add_nothing(spark, monkeypatch):
+    c = changes(spark, [(k, "x", D(2020, 1, 1 + n), n, float(n)) for n, k in enumerate("abcdefgh")])
+    e = spark.createDataFrame([(1, "a", D(2020, 2, 1)), (2, "h", D(2020, 2, 1)), (3, "q", D(2020, 2, 1))], "id long, entity string, at date")
+    monkeypatch.setattr(validity, "ASKED_PLACES", 2)
+    got = validity.join_as_of(e, c, ["entity"], "at", "d", "rid", ["value"])
+    assert sorted((r.id, r.value) for r in got.collect()) == [(1, 0.0), (2, 7.0)]
+
+
+def test_equal_hashes_are_compared(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [("a", "x", D(2020, 1, n), n, v) for n, v in enumerate([1.0, 1.0, 2.0, 2.0, None, None, 3.0], 1)]
+    # Every hash collides: the values decide.
+    monkeypatch.setattr(validity.F, "xxhash64", lambda *c: F.lit(7).cast("long"))
+    got = sorted((str(r.valid_from), r.value) for r in validity.history(changes(spark, rows), ["entity"], "d", "rid", ["value"]).collect())
+    assert got == [("2020-01-01", 1.0), ("2020-01-03", 2.0), ("2020-01-05", None), ("2020-01-07", 3.0)]

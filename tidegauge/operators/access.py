@@ -9,6 +9,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidegauge.functions.scalar import published, vintage_end
 from tidegauge.tables import with_known_day
 
 #: Series of revised figures without a single dated release can't be known as of a day.
@@ -109,12 +110,9 @@ def whole_vintage(vintages: DataFrame, as_of: Column, key: str = "vintage") -> D
     Keys are like 2020Q1; a vintage is published 14 days after its quarter ends, so
     one that isn't out yet is never read. Unreadable keys are left out.
     """
-    from tidegauge.functions.scalar import published, vintage_end
-
     out = vintages.where(published(F.col(key)) <= as_of)
-    last = out.agg(F.max_by(key, vintage_end(F.col(key))).alias("last"))
-    # One row.
-    return out.join(F.broadcast(last), F.col(key) == F.col("last")).where(F.col("obs_day") <= vintage_end(F.col(key))).drop("last")
+    last = out.agg(F.max_by(key, vintage_end(F.col(key)))).scalar()
+    return out.where((F.col(key) == last) & (F.col("obs_day") <= vintage_end(F.col(key))))
 
 
 class UnitsDiffer(ValueError):

@@ -363,19 +363,18 @@ def r2_cells(spark, d):
     s = _series(spark, d)
     market = series.month_end_last(s).groupBy("month_end").agg(F.avg("value").alias("market_mean"), F.median("value").alias("market_median"))
     targets = market.unpivot("month_end", ["market_mean", "market_median"], "target", "level")
-    last = s.agg(F.max("day").alias("last_day"))
+    last_day = s.agg(F.max("day")).scalar()
     months = F.explode(F.array(*[F.lit(h) for h in HORIZONS])).alias("months")
-    # Targets have a row for each month, the last day is one row: both are bounded by the calendar.
-    asked = targets.select("*", months).crossJoin(F.broadcast(last)).withColumn("later", F.expr("cast(add_months(month_end, months) as date)")).where("later <= last_day")
+    asked = targets.select("*", months).withColumn("later", F.expr("cast(add_months(month_end, months) as date)")).where(F.col("later") <= last_day)
     ends = targets.select("target", F.col("month_end").alias("end_of"), F.col("level").alias("at_end"))
-    y = series.asof_join(asked.drop("last_day"), ends, ["target"], "later", "end_of", ["at_end"]).where("level <> 0").select(
+    y = series.asof_join(asked, ends, ["target"], "later", "end_of", ["at_end"]).where("level <> 0").select(
         "target", "months", "month_end", (F.col("at_end") / F.col("level") - 1).alias("y")
     )
     latest = latest_view(spark, d)
     ids = latest.select("indicator_id", "area_code").distinct()
-    # One row with the month ends of the market.
-    grid = market.agg(F.collect_set("month_end").alias("ends"))
-    days = ids.crossJoin(F.broadcast(grid)).select("indicator_id", "area_code", F.explode("ends").alias("month_end"))
+    # One value, bounded by the calendar.
+    ends_of_market = market.agg(F.collect_set("month_end")).scalar()
+    days = ids.select("indicator_id", "area_code", F.explode(ends_of_market).alias("month_end"))
     held = latest.where("value is not null").select("indicator_id", "area_code", "obs_day", "value")
     x = series.asof_join(days, held, ["indicator_id", "area_code"], "month_end", "obs_day", ["value"]).where("value is not null")
     keys = ["indicator_id", "area_code", "target"]

@@ -187,11 +187,9 @@ asof left join f on a.indicator_id = f.indicator_id and a.area_code = f.area_cod
 def align_indicators(spark, d):
     """The figure in force of every indicator and area on each month end of the market, in the last version of each observation."""
     latest = latest_view(spark, d)
-    # One row, bounded by the calendar.
-    targets = _series(spark, d).agg(F.collect_set(F.last_day("day")).alias("month_ends"))
-    asked = latest.select("indicator_id", "area_code").distinct().crossJoin(F.broadcast(targets)).select(
-        "indicator_id", "area_code", F.explode("month_ends").alias("month_end")
-    )
+    # One value, bounded by the calendar.
+    month_ends = _series(spark, d).agg(F.collect_set(F.last_day("day"))).scalar()
+    asked = latest.select("indicator_id", "area_code").distinct().select("indicator_id", "area_code", F.explode(month_ends).alias("month_end"))
     held = latest.where("value is not null").select("indicator_id", "area_code", "obs_day", "value")
     found = series.asof_join(asked, held, ["indicator_id", "area_code"], "month_end", "obs_day", ["value"])
     return found.select("indicator_id", "area_code", "month_end", F.col("since").alias("obs_day"), "value")

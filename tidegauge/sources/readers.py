@@ -75,7 +75,7 @@ def positional(spark: SparkSession, path: str, columns: dict[int, str], skip: in
     if skip:
         # Only the few first lines of each file are numbered; the rest pass by.
         first = lines.groupBy("f").agg(F.min("i").alias("lo"))
-        lines = lines.join(F.broadcast(first), "f").where(F.col("i") >= F.col("lo") + skip)
+        lines = lines.join(first, "f").where(F.col("i") >= F.col("lo") + skip)
     parsed = lines.select(F.from_csv("value", schema.simpleString()[7:-1].replace(":", " "), {"mode": "PERMISSIVE"}).alias("r"))
     clean = lambda c: F.when(~F.trim(c).isin(*missing), F.trim(c))
     return parsed.select(*[clean(F.col(f"r.c{i}")).alias(n) for i, n in columns.items()])
