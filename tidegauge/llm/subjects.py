@@ -36,7 +36,7 @@ class Training:
     """
 
     max_labelled: int = 6_000
-    partitions: int = 12
+    partitions: int = 6
     part_words: int = 1_000_000
     places: int = 1 << 20
     buckets: int = 1 << 14
@@ -148,7 +148,7 @@ class Prepared:
         """Keep the orders in which gradients are gathered: texts by word, and words by bucket; they are the same every round."""
         by_word = np.argsort(self.index, kind="stable")
         texts = np.repeat(np.arange(len(self.text_starts), dtype=np.int32), self.sizes())[by_word]
-        by_bucket = np.argsort(self.word_features, kind="stable")
+        by_bucket = np.argsort(self.word_features, kind="stable").astype(np.int32)
         sizes = np.diff(np.append(self.word_starts, len(self.word_features)))
         words = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[by_bucket]
         first = lambda v: np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, np.int64)
@@ -291,20 +291,25 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], t: Train
     prior /= prior.sum()
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own: dict[int, np.ndarray] = {}
+        held = None
         for pdf in batches:
-            for page, targets in zip(pdf["page"], pdf["targets"]):
-                y = np.zeros(n)
-                y[targets] = 1 / len(targets)
-                for at in {place(w, t.places) for w in {w for section in pickle.loads(page) for s in section for w in s}}:
-                    if at in own:
-                        own[at] += y
-                    else:
-                        own[at] = y.copy()
-        if not own:
-            return
-        table = np.array(list(own.values())).reshape(-1, n)
-        yield pd.DataFrame({"place": list(own), **{f"n{i}": table[:, i] for i in range(n)}})
+            at, row = [], []
+            for i, page in enumerate(pdf["page"]):
+                told = {place(w, t.places) for w in {w for section in pickle.loads(page) for s in section for w in s}}
+                at += told
+                row += [i] * len(told)
+            y = np.zeros((len(pdf), n))
+            for i, targets in enumerate(pdf["targets"]):
+                y[i, targets] = 1 / len(targets)
+            at, shares = np.array(at, np.int64), y[np.array(row, np.int64)]
+            if held is not None:
+                at, shares = np.concatenate([held[0], at]), np.concatenate([held[1], shares])
+            if len(at):
+                order = np.argsort(at, kind="stable")
+                at, first = np.unique(at[order], return_index=True)
+                held = at, np.add.reduceat(shares[order], first, axis=0)
+        if held is not None:
+            yield pd.DataFrame({"place": held[0].astype(np.int32), **{f"n{i}": held[1][:, i] for i in range(n)}})
 
     sums = data.mapInPandas(counted, "place int, " + ", ".join(f"n{i} double" for i in range(n))).groupBy("place").agg(
         *[F.sum(f"n{i}").alias(f"n{i}") for i in range(n)]
