@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -44,6 +45,7 @@ _LINK = regex.compile(r"\[\[(?:[^\[\]|]*\|)?([^\[\]|]*)\]\]")
 _WORD = regex.compile(r"[\p{L}\p{N}]+(?:['’][\p{L}]+)?")
 _MARKUP = regex.compile(r"<!--.*?-->|<ref[^>/]*/>|<ref[^>]*>.*?</ref>|</?[a-z][^<>]*>", regex.S | regex.I)
 _CELL = regex.compile(r"^(?:\{\||\|\}|\|-|!).*$|^\|[^|\n]*\d+\s*$|^[*#:;|]+", regex.M)
+_PLAIN_WORD = re.compile(r"[a-z0-9]+(?:'[a-z]+)?")
 _SENTENCE = regex.compile(r"(?<=[.?!])\s+")
 
 
@@ -55,15 +57,20 @@ def words(text: str, strip: bool = False) -> list[str]:
     if "&" in text:
         text = html.unescape(text)
     if strip:
-        text = _CELL.sub(" ", without_templates(_MARKUP.sub(" ", text)))
+        if "<" in text:
+            text = _MARKUP.sub(" ", text)
+        text = _CELL.sub(" ", without_templates(text))
     if not text.isascii():
         text = _INVISIBLE.sub("", text)
     if "[[" in text:
         text = _LINK.sub(r"\1", text)
-    text = _BROKEN.sub("", text)
+    if "-\n" in text or "-\r" in text or "\u2010" in text:
+        text = _BROKEN.sub("", text)
     if not text.isascii():
         text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
     text = text.casefold()
+    if text.isascii():
+        return _PLAIN_WORD.findall(text)
     if _LOOKS.search(text):
         text = _MIXED.sub(lambda m: m.group().translate(LOOKALIKES), text)
     return _WORD.findall(text)
@@ -216,37 +223,55 @@ def distances(pattern: np.ndarray, length: np.ndarray, text: np.ndarray) -> np.n
     return best
 
 
-def leaked(pieces: Pieces, found: list[str]) -> set[int]:
-    """Items whose passage stands in a list of words."""
-    if len(found) < PIECE or not len(pieces.keys):
-        return set()
+#: Unknown words between texts that are searched together; no window with its shifts reaches over them.
+GAP = WINDOW + 2 * BUDGET
+#: Words of the texts that are searched together.
+LOT_WORDS = 200_000
+
+
+def leaked(pieces: Pieces, texts: list[list[str]]) -> list[set[int]]:
+    """For each text, given as words, the items whose passage stands in it."""
+    out: list[set[int]] = [set() for _ in texts]
+    sizes = np.array([len(t) for t in texts], np.int64)
+    if not sizes.sum() or not len(pieces.keys):
+        return out
     get = pieces.vocabulary.get
-    ids = np.array([get(w, 0) for w in found], np.int64)
+    flat = np.fromiter((get(w, 0) for t in texts for w in t), np.int64, int(sizes.sum()))
+    first = np.cumsum(sizes + GAP) - sizes
+    ids = np.zeros(int(first[-1] + sizes[-1]) + GAP, np.int64)
+    ids[np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flat))] = flat
     known = np.concatenate([[0], np.cumsum(ids > 0)])
     at = np.flatnonzero(known[PIECE:] - known[:-PIECE] == PIECE)
-    if not len(at):
-        return set()
     key = mix(ids[at[:, None] + np.arange(PIECE)])
     low, high = np.searchsorted(pieces.keys, key, "left"), np.searchsorted(pieces.keys, key, "right")
     count = high - low
     if not count.sum():
-        return set()
+        return out
     hit = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
     window, start = pieces.owner[hit], np.repeat(at, count) - pieces.offset[hit]
-    pairs = np.unique(np.stack([window, start], axis=1), axis=0)
-    window, start = pairs[:, 0], pairs[:, 1]
-    padded = np.concatenate([np.zeros(WINDOW + BUDGET, np.int64), ids, np.zeros(WINDOW + 2 * BUDGET, np.int64)])
-    text = padded[(start + WINDOW)[:, None] + np.arange(WINDOW + 2 * BUDGET)]
-    far = distances(pieces.window[window], pieces.length[window], text)
-    near = far <= pieces.budget[window]
-    if not near.any():
-        return set()
+    pairs = np.unique(start * len(pieces.window) + window)
+    start, window = pairs // len(pieces.window), pairs % len(pieces.window)
+    padded = np.concatenate([ids, np.zeros(GAP, np.int64)])
+    near = np.zeros(len(start), bool)
+    far = np.empty(len(start), np.int64)
+    for i in range(0, len(start), 50_000):
+        part = slice(i, i + 50_000)
+        text = padded[(start[part] - BUDGET)[:, None] + np.arange(GAP)]
+        far[part] = distances(pieces.window[window[part]], pieces.length[window[part]], text)
+        near[part] = far[part] <= pieces.budget[window[part]]
     window, start, far = window[near], start[near], far[near]
-    # Passages share phrases: where several windows meet the same words, the nearest have them.
-    low, high = np.searchsorted(at := np.sort(start), start - BLUR), np.searchsorted(at, start + BLUR, side="right")
-    sorted_far = far[np.argsort(start, kind="stable")]
-    best = [int(w) for w, d, a, b in zip(window, far, low, high) if d <= sorted_far[a:b].min()]
-    return {int(i) for w in set(best) for i in pieces.items[pieces.first[w] : pieces.first[w + 1]]}
+    # Passages share phrases: where several windows meet the same words, the nearest have them. Starts are in order.
+    low, high = np.searchsorted(start, start - BLUR), np.searchsorted(start, start + BLUR, side="right")
+    least = far.copy()
+    for step in range(1, int((high - low).max(initial=1))):
+        for a, b in ((slice(step, None), slice(None, -step)), (slice(None, -step), slice(step, None))):
+            beside = np.abs(start[a] - start[b]) <= BLUR
+            least[a] = np.where(beside, np.minimum(least[a], far[b]), least[a])
+    best = far <= least
+    text_of = np.searchsorted(first - GAP, start[best], side="right") - 1
+    for t, w in zip(text_of.tolist(), window[best].tolist()):
+        out[t].update(pieces.items[pieces.first[w] : pieces.first[w + 1]].tolist())
+    return out
 
 
 def both_forms(body: str) -> list[list[str]]:
@@ -283,11 +308,22 @@ def _by_broadcast(slim: DataFrame, held: DataFrame) -> DataFrame:
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = shared.value
         for pdf in batches:
-            docs, hits = [], []
-            for doc, body in zip(pdf["doc_id"], pdf["text"]):
-                found = set().union(*(leaked(pieces, form) for form in both_forms(body)))
-                hits += found
-                docs += [doc] * len(found)
+            docs, hits, forms, of, held = [], [], [], [], 0
+            ids = pdf["doc_id"].tolist()
+            for i, body in enumerate(pdf["text"]):
+                own = both_forms(body)
+                forms += own
+                of += [i] * len(own)
+                held += sum(map(len, own))
+                if held >= LOT_WORDS or i == len(pdf) - 1:
+                    found: dict[int, set[int]] = {}
+                    for row, items in zip(of, leaked(pieces, forms)):
+                        if items:
+                            found.setdefault(row, set()).update(items)
+                    for row, items in found.items():
+                        hits += items
+                        docs += [ids[row]] * len(items)
+                    forms, of, held = [], [], 0
             yield pd.DataFrame({"item_id": pd.Series(hits, dtype="int64"), "doc_id": pd.Series(docs, dtype=pdf["doc_id"].dtype)})
 
     return slim.mapInPandas(search, f"item_id long, doc_id {dict(slim.dtypes)['doc_id']}")
