@@ -72,13 +72,18 @@ def shared_by(n, ask):
     return passage, told, items
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 5, 500])
-def test_items_that_share_a_passage_all_leak(spark, n):
-    for ask in (lambda k: f"Why would q{k} have r{k * 7} under u{k * 3}?", lambda k: f"What did N{k} say?", lambda k: ASK, lambda k: f"Tell of q{k} and r{k * 7}."):
-        passage, told, items = shared_by(n, ask)
-        d, i = frames(spark, [(1, f"x {passage} y", ""), (2, f"{told} {ASK} {ask(0)} {ask(1)}", "")], items)
-        got = leaks.find_leaks(d, i)
-        assert sorted((r.item_id, r.doc_id) for r in got.collect()) == [(k, 1) for k in range(n)]
+ASKS = {
+    "why": lambda k: f"Why would q{k} have r{k * 7} under u{k * 3}?", "what": lambda k: f"What did N{k} say?", "same": lambda k: ASK, "told": lambda k: f"Tell of q{k} and r{k * 7}.",
+}
+
+
+@pytest.mark.parametrize("n,how", [(1, "why"), (2, "why"), (3, "why"), (5, "why"), (500, "why"), (3, "what"), (500, "same"), (3, "told")])
+def test_items_that_share_a_passage_all_leak(spark, n, how):
+    ask = ASKS[how]
+    passage, told, items = shared_by(n, ask)
+    d, i = frames(spark, [(1, f"x {passage} y", ""), (2, f"{told} {ASK} {ask(0)} {ask(1)}", "")], items)
+    got = leaks.find_leaks(d, i)
+    assert sorted((r.item_id, r.doc_id) for r in got.collect()) == [(k, 1) for k in range(n)]
 
 
 def test_without_neighbours_a_shared_passage_is_kept(spark):
