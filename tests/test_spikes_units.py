@@ -188,3 +188,24 @@ def test_values_against_a_plain_reading(spark):
         moved += unit != r.home
         assert got[i].unit == unit and np.isclose(got[i].value, figure * 10.0 ** (power.get(unit, 0) - power.get(r.home, 0)))
     assert moved > 10
+
+
+def test_planted_faults_are_found():
+    rng = np.random.default_rng(12)
+    hit = false = missed = 0
+    xs, planted = [], []
+    for k in range(80):
+        n = int(rng.integers(150, 400))
+        walk = np.cumsum(rng.normal(0, 0.3, n)) if k % 2 else np.zeros(n)
+        x = 100 + walk + rng.normal(0, 1, n) + (4 * np.sin(np.arange(n) / 9) if k % 3 == 0 else 0)
+        if k % 4 == 0:
+            x[n // 2 :] += 30
+        bad = rng.choice(np.arange(10, n - 10), 5, replace=False)
+        bad = bad[np.abs(bad - n // 2) > 8]
+        x[bad] += rng.choice([-1, 1], len(bad)) * rng.uniform(20, 200, len(bad))
+        xs.append(x)
+        planted.append(set(bad.tolist()))
+    for x, bad, (low, high, seasonal, _) in zip(xs, planted, spikes.judge_all(xs)):
+        found = set(np.flatnonzero(((x < low) | (x > high)) & ~seasonal).tolist())
+        hit, false, missed = hit + len(found & bad), false + len(found - bad), missed + len(bad - found)
+    assert hit / (hit + missed) >= 0.97 and hit / (hit + false) >= 0.97

@@ -72,7 +72,7 @@ def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
 
 
 #: Tables of more bytes than this are never spread.
-SPREAD_BYTES = 16 << 20
+SPREAD_BYTES = 8 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
