@@ -32,6 +32,21 @@ def test_trailing_z_of_a_step(spark):
     assert abs(z - 1.15830) < 1e-5
 
 
+def test_trailing_rank_across_batches(spark):
+    rng = np.random.default_rng(9)
+    x = {k: rng.integers(0, 30, 400).astype(float) for k in "abc"}
+    rows = [(k, D(2000, 1, 1) + timedelta(i), float(v)) for k, held in x.items() for i, v in enumerate(held)] + [("a", D(1999, 1, 1), None), (None, D(1999, 1, 1), 1.0)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    got = {(r.id, (r.day - D(2000, 1, 1)).days): r.share for r in series.trailing_rank(frame(spark, rows), 60, 20).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == 1200
+    for (k, i), share in got.items():
+        held = x[k][max(0, i - 59) : i + 1]
+        assert share is None if i < 19 else abs(share - (held <= x[k][i]).mean()) < 1e-12
+    assert series.trailing_rank(frame(spark, []), 5).count() == 0
+
+
 def test_gaps_and_quartiles(spark):
     values = [None, 1.0, None, None, None, None, None, 7.0, *[None] * 6, 9.0, None]
     s = frame(spark, [("a", D(2020, 1, 1) + timedelta(i), v) for i, v in enumerate(values)])

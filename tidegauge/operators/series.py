@@ -7,6 +7,8 @@ from datetime import date
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,11 +111,34 @@ def trailing_z(value: Column, rows: int, least: int = 2) -> Column:
     return F.when((F.count(value).over(w) >= least) & (F.stddev_samp(value).over(w) > 1e-12), (value - F.avg(value).over(w)) / F.stddev_samp(value).over(w))
 
 
-def trailing_rank(value: Column, rows: int, least: int = 1) -> Column:
-    """Share of the trailing rows that are at most the current one, itself and ties included."""
-    held = F.collect_list(value).over(_rows(rows))
-    below = F.size(F.filter(held, lambda x: x <= value))
-    return F.when(F.size(held) >= least, below / F.size(held))
+def trailing_rank(series: DataFrame, rows: int, least: int = 1) -> DataFrame:
+    """id, day, share: the share of an id's trailing rows that are at most the row's own value, itself and ties included.
+
+    Null with fewer than least rows; rows without id or value are left out. A pass
+    over each id's rows in order of day, which keeps rows - 1 values between batches.
+    """
+    slim = series.where("id is not null and value is not null").select("id", "day", F.col("value").cast("double").alias("value"))
+
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, tail = None, np.zeros(0)
+        for batch in batches:
+            n, ids, v = batch.num_rows, batch.column(0), batch.column(2).to_numpy()
+            if not n:
+                continue
+            starts = np.r_[0, 1 + np.flatnonzero(pc.not_equal(ids.slice(1), ids.slice(0, n - 1)).to_numpy(zero_copy_only=False))].astype(int)
+            share, count = np.zeros(n), np.zeros(n, int)
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), n]):
+                own, name = v[a:b], ids[a].as_py()
+                before = tail if name == last else np.zeros(0)
+                held = np.concatenate([before, own])
+                window = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(rows - 1, np.nan), held]), rows)[len(before) :]
+                count[a:b] = np.minimum(np.arange(len(before), len(held)) + 1, rows)
+                share[a:b] = (window <= own[:, None]).sum(axis=1) / count[a:b]
+                last, tail = name, held[-(rows - 1) :] if rows > 1 else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([ids, batch.column(1), pa.array(share, mask=count < least)], ["id", "day", "share"])
+
+    kinds = dict(slim.dtypes)
+    return slim.repartition("id").sortWithinPartitions("id", "day").mapInArrow(ranked, f"id {kinds['id']}, day {kinds['day']}, share double")
 
 
 def drawdown(value: Column, rows: int) -> Column:

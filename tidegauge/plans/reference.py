@@ -317,7 +317,7 @@ def trailing_z60(spark, d):
 @query(f"""{_S}, h as (select id, day, value, list(value) over (partition by id order by day rows between 251 preceding and current row) as held from s)
 select id, day, case when len(held) >= 60 then len(list_filter(held, lambda x: x <= value)) / len(held) end as share from h""")
 def trailing_pctile252(spark, d):
-    return _series(spark, d).select("id", "day", series.trailing_rank(F.col("value"), 252, 60).alias("share"))
+    return series.trailing_rank(_series(spark, d), 252, 60)
 
 
 @query(_trailing_sql(252, "round(value / max(value) over w - 1, 8)", "drawdown"))
